@@ -8,7 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import once, table
-from . import p5_pieces, p7_leaks, p9_forms
+from . import p4_neighbours, p5_pieces, p7_leaks, p9_forms
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p4_neighbours.neighbour_pairs(table(spark, folder, "children"))
+
+
+def p4_neighbours_of(spark: SparkSession, folder: str) -> DataFrame:
+    return p4_neighbours.neighbours(table(spark, folder, "children")).select("id", "rank", "other", F.round("similarity", 6).alias("similarity"))
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -37,7 +45,7 @@ def p9_form(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit() and "_" in k and not isinstance(f, type(p5_pieces))}
+    return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit() and isinstance(f, type(queries))}
 
 
 def oracle_sql() -> dict[str, str]:
