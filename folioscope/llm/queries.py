@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import once, table
-from . import p4_neighbours, p5_pieces, p7_leaks, p9_forms
+from . import p4_neighbours, p5_pieces, p6_lines, p7_leaks, p9_forms
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -27,6 +27,28 @@ def p5_split(spark: SparkSession, folder: str) -> DataFrame:
     return p5_pieces.split_chunks(table(spark, folder, "chunk"))
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p6_lines.repeated_line_places(table(spark, folder, "block"))
+
+
+def p6_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """How often blocks of so many lines repeat within each book."""
+    b = p6_lines.repeated_blocks(p6_lines.plain_blocks(table(spark, folder, "block")))
+    return b.select(F.col("source").alias("slug"), F.concat_ws(" ", F.transform("lines", F.hex)).alias("lines"), F.size("lines").alias("n_lines"), "documents")
+
+
+def p6_clean_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    b = p6_lines.plain_blocks(table(spark, folder, "block"))
+    clean = p6_lines.without_lines(b, p6_lines.repeated_lines(b), ["source", "ord"])
+    return clean.select(F.col("source").alias("slug"), "ord", "clean", "removed")
+
+
+def p6_clean_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    repeated = p6_lines.repeated_lines(p6_lines.plain_blocks(table(spark, folder, "block")))
+    c = once(table(spark, folder, "chunk").select("chunk_id", F.col("book_slug").alias("source"), "text"), "chunk_id")
+    return p6_lines.without_lines(c, repeated, ["chunk_id"]).select("chunk_id", "clean", "removed")
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return p7_leaks.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_item"))
 
@@ -50,6 +72,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p6_found": """
+            WITH b AS (SELECT DISTINCT slug, ord, text FROM block WHERE type = 'text' AND text_level IS NULL AND text IS NOT NULL),
+            l AS (SELECT slug, ord, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM b),
+            k AS (SELECT slug, ord, line_no, regexp_replace(regexp_replace(lower(trim(regexp_replace(line, '\\s+', ' ', 'g'))), '\\s+', ' ', 'g'), '[0-9]+', '0', 'g') AS line FROM l),
+            f AS (SELECT slug, line FROM k WHERE line <> '' GROUP BY slug, line HAVING count(DISTINCT ord) >= 6)
+            SELECT slug, ord, CAST(line_no AS INTEGER) AS line_no FROM k JOIN f USING (slug, line)""",
         "p5_found": """
             SELECT DISTINCT chunk_id FROM chunk
             WHERE (length(text) + CASE WHEN coalesce(breadcrumb, '') <> '' THEN length(breadcrumb) + 2 ELSE 0 END) // 4
