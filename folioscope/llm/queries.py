@@ -8,7 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import once, table
-from . import p4_neighbours, p5_pieces, p6_lines, p7_leaks, p9_forms
+from . import p1_similar, p4_neighbours, p5_pieces, p6_lines, p7_leaks, p9_forms
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = p1_similar.similar_pairs(p1_similar.child_texts(table(spark, folder, "chunk")))
+    return pairs.select(F.col("id_a").alias("chunk_id_a"), F.col("id_b").alias("chunk_id_b"))
+
+
+def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
+    groups = p1_similar.groups(p1_similar.child_texts(table(spark, folder, "chunk")))
+    return groups.withColumnRenamed("id", "chunk_id")
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
