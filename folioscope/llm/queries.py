@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import once, table
-from . import p1_similar, p4_neighbours, p5_pieces, p6_lines, p7_leaks, p9_forms
+from . import p1_similar, p4_neighbours, p5_pieces, p6_lines, p7_leaks, p8_mixture, p9_forms
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -67,6 +67,21 @@ def p7_report(spark: SparkSession, folder: str) -> DataFrame:
     return p7_leaks.leak_report(table(spark, folder, "documents"), table(spark, folder, "eval_item"))
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    _, plan = p8_mixture.prepared(table(spark, folder, "documents"), table(spark, folder, "mix_target"))
+    return plan.where("not reachable").select("source")
+
+
+def p8_mixture_rows(spark: SparkSession, folder: str) -> DataFrame:
+    sized, plan = p8_mixture.prepared(table(spark, folder, "documents"), table(spark, folder, "mix_target"))
+    return p8_mixture.permuted(p8_mixture.mixture(sized, plan))
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    sized, plan = p8_mixture.prepared(table(spark, folder, "documents"), table(spark, folder, "mix_target"))
+    return p8_mixture.reached(p8_mixture.mixture(sized, plan), plan)
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return p9_forms.same_looking_pairs(table(spark, folder, "documents"))
 
