@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import once, table
-from . import p1_similar, p4_neighbours, p5_pieces, p6_lines, p7_leaks, p8_mixture, p9_forms
+from . import p1_similar, p2_languages, p4_neighbours, p5_pieces, p6_lines, p7_leaks, p8_mixture, p9_forms
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -21,6 +21,14 @@ def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
     return groups.withColumnRenamed("id", "chunk_id")
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p2_languages.wrong_labels(*(table(spark, folder, n) for n in ("chunk", "book_meta", "lang_label")))
+
+
+def p2_languages_of(spark: SparkSession, folder: str) -> DataFrame:
+    return p2_languages.languages(*(table(spark, folder, n) for n in ("chunk", "book_meta", "lang_label")))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return p4_neighbours.neighbour_pairs(table(spark, folder, "children"))
 
