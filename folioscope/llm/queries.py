@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import once, table
-from . import p1_similar, p2_languages, p4_neighbours, p5_pieces, p6_lines, p7_leaks, p8_mixture, p9_forms
+from . import p1_similar, p2_languages, p3_scans, p4_neighbours, p5_pieces, p6_lines, p7_leaks, p8_mixture, p9_forms
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -29,6 +29,25 @@ def p2_languages_of(spark: SparkSession, folder: str) -> DataFrame:
     return p2_languages.languages(*(table(spark, folder, n) for n in ("chunk", "book_meta", "lang_label")))
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p3_scans.damages(*(table(spark, folder, n) for n in ("block", "book_meta", "outline")))
+
+
+def p3_clean_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    block = table(spark, folder, "block")
+    titles = p3_scans.book_titles(block, table(spark, folder, "book_meta"), table(spark, folder, "outline"))
+    return p3_scans.repaired(p3_scans.plain_blocks(block), titles).select(F.col("source").alias("slug"), F.col("id").alias("ord"), "clean")
+
+
+def p3_clean_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    block = table(spark, folder, "block")
+    titles = p3_scans.book_titles(block, table(spark, folder, "book_meta"), table(spark, folder, "outline"))
+    corpus = p3_scans.without_furniture(p3_scans.plain_blocks(block), titles)
+    c = once(table(spark, folder, "chunk").select("chunk_id", "book_slug", "text"), "chunk_id")
+    texts = c.select(F.col("book_slug").alias("source"), F.col("chunk_id").alias("id"), F.lit(None).cast("int").alias("page"), "text")
+    return p3_scans.repaired(texts, titles, corpus).select(F.col("id").alias("chunk_id"), "clean")
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return p4_neighbours.neighbour_pairs(table(spark, folder, "children"))
 
