@@ -3,9 +3,9 @@
 A segment's UTF-8 bytes are cut into windows of WINDOW bytes. Bytes have a learned embedding; filters
 of several widths run over it, the maximum of each over the window goes into a softmax layer. The
 network is trained in numpy on a bounded sample of labelled rows: SAMPLE items per declared language
-(chosen by the hash of their key), of each at most CROPS windows and as many short crops. As some
-labels are wrong, items whose label the half-trained network finds unlikely are left out of the rest
-of the training. The windows' log probabilities are summed over a segment, and over a chunk.
+(chosen by the hash of their key), of each at most CROPS windows and twice as many short crops. As some
+labels are wrong, networks trained on one half of the items judge those of the other half first, and
+items whose label they don't confirm are left out. It takes EPOCHS passes over the sample, or STEPS steps if that is more. The windows' log probabilities are summed over a segment, and over a chunk.
 
 Segments without a letter get no language and confidence 0. Null and empty texts give no segment (an
 empty text is one empty segment). Rows with a null key are left out, a key that comes twice counts
@@ -36,8 +36,8 @@ NAMES = {
 }
 # Beginnings of paragraphs that are no prose.
 NOT_PROSE = ["$$", "|", "![", "<table", "```"]
-WINDOW, STEP, DIM, WIDTHS, FILTERS = 160, 144, 12, (2, 3, 4, 5), 32
-SAMPLE, CROPS, EPOCHS, SEED, ITEM_CHARS = 600, 3, 6, 11, 20_000
+WINDOW, SHORT, STEP, DIM, WIDTHS, FILTERS = 160, 72, 144, 12, (2, 3, 4, 5), 32
+SAMPLE, CROPS, EPOCHS, STEPS, SEED, ITEM_CHARS = 400, 3, 6, 600, 11, 20_000
 
 
 def declared(lang: Column) -> Column:
@@ -105,18 +105,21 @@ class ByteNetwork:
         return g
 
     def fit(self, x: np.ndarray, y: np.ndarray, epochs: int, seed: int, rate: float = 0.004, batch: int = 64) -> None:
-        r, step = np.random.default_rng(seed), 0
+        r, step, short = np.random.default_rng(seed), 0, ~x[:, SHORT - 1 :].any(1)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(p) for k, p in self.p.items()}
+        epochs = max(epochs, -(-STEPS * batch * epochs // (EPOCHS * max(1, len(x)))))
         for epoch in range(epochs):
             order = r.permutation(len(x))
-            for s in range(0, len(order), batch):
-                pick = order[s : s + batch]
+            parts = [order[short[order]], order[~short[order]]]  # short windows go together, without most of their padding
+            batches = [(p[s : s + batch], SHORT if n == 0 else WINDOW) for n, p in enumerate(parts) for s in range(0, len(p), batch)]
+            for b in r.permutation(len(batches)):
+                pick, size = batches[b]
                 step += 1
-                for k, g in self.gradients(x[pick], y[pick]).items():
+                for k, g in self.gradients(x[pick, :size], y[pick]).items():
                     m[k] = 0.9 * m[k] + 0.1 * g
                     v[k] = 0.99 * v[k] + 0.01 * g * g
-                    self.p[k] -= rate / (1 + epoch) ** 0.5 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-7)
+                    self.p[k] -= rate / (1 + 5 * epoch / epochs) ** 0.5 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-7)
 
 
 _SPACE, _LETTER = re.compile(r"\s+"), re.compile(r"[^\W\d_]")
@@ -142,20 +145,23 @@ def train(texts: list[str], labels: list[int], classes: int = len(LANGUAGES), ep
     for n, text in enumerate(texts):
         own = windows(text)
         own = [own[i] for i in r.permutation(len(own))[:CROPS]]
-        short = [w[i : i + int(r.integers(24, 70))] for w in own for i in [int(r.integers(0, max(1, len(w) - 40)))]]
+        short = [w[i : i + int(r.integers(20, 70))] for w in own for i in r.integers(0, max(1, len(w) - 40), 2)]
         parts += own + short
         owner += [n] * (len(own) + len(short))
     x, owner = as_array(parts), np.array(owner)
     y = np.array(labels)[owner]
-    net = ByteNetwork(classes, seed)
-    net.fit(x, y, max(1, epochs // 3), seed)
     score = np.zeros((len(texts), classes))
-    np.add.at(score, owner, net.log_probabilities(x))
-    trusted = score.argmax(1) == np.array(labels)
-    keep = trusted[owner]
-    if len(np.unique(y[keep])) == len(np.unique(y)):
-        net = ByteNetwork(classes, seed + 1)
-        net.fit(x[keep], y[keep], epochs, seed + 1)
+    for half in (0, 1):
+        mine = owner % 2 == half
+        if mine.any() and not mine.all():
+            judge = ByteNetwork(classes, seed + half)
+            judge.fit(x[mine], y[mine], max(1, epochs // 3), seed + half)
+            np.add.at(score, owner[~mine], judge.log_probabilities(x[~mine]))
+    keep = (score.argmax(1) == np.array(labels))[owner]
+    if len(np.unique(y[keep])) < len(np.unique(y)):  # too few items to judge by
+        keep[:] = True
+    net = ByteNetwork(classes, seed + 2)
+    net.fit(x[keep], y[keep], epochs, seed + 2)
     return net
 
 

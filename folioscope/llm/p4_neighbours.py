@@ -39,6 +39,9 @@ def nearest(x: np.ndarray, y: np.ndarray, k: int, same: bool, stripe: int = STRI
     """For the unit rows of x their k nearest unit rows of y: row of x, row of y, cosine; for each row
     of x by falling cosine, ties by the row of y. same: x is y, and no row is its own neighbour."""
     n, m = len(x), len(y)
+    want = min(k, m - same)
+    if not n or want < 1:
+        return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
     (cx, sx, ex), (cy, sy, ey) = quantised(x), quantised(y)
     lanes = -(-m // LANE)
     columns = np.zeros((lanes * LANE, x.shape[1]), np.float32)
@@ -57,7 +60,6 @@ def nearest(x: np.ndarray, y: np.ndarray, k: int, same: bool, stripe: int = STRI
             near[rows - s, rows] = -9
         # lower bound of the k-th best: the k-th largest of the lanes' maxima
         top = near.reshape(len(rows), lanes, LANE).max(2)
-        want = min(k, m - same)
         bound = (ex[rows] + (1 + ex[rows]) * most + 1e-5).astype(np.float32)
         floor = (np.partition(top, lanes - want, axis=1)[:, lanes - want] if lanes > want else np.full(len(rows), -8, np.float32)) - 2 * bound
         r, lane = np.nonzero(top >= floor[:, None])
@@ -70,7 +72,7 @@ def nearest(x: np.ndarray, y: np.ndarray, k: int, same: bool, stripe: int = STRI
         first = np.searchsorted(i, rows)
         keep = np.arange(len(i)) - first[i - s] < k
         out.append((i[keep], j[keep], exact[keep]))
-    return tuple(np.concatenate(part) for part in zip(*out)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+    return tuple(np.concatenate(part) for part in zip(*out))
 
 
 def _block(table: pa.Table, size: int) -> tuple[np.ndarray, np.ndarray]:
