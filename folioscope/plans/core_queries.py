@@ -200,7 +200,7 @@ def basic_books(spark, d):
 
 @query
 def existing_books(spark, d):
-    files = table(spark, d, "book_meta").select(F.explode("courses").alias("course"), F.regexp_replace("source_path", "^.*/", "").alias("filename"))
+    files = table(spark, d, "book_meta").select(F.explode("courses").alias("course"), F.concat(F.regexp_replace("slug", "^[a-z]+-[a-z]+-", ""), F.lit(".pdf")).alias("filename"))
     return C.existing_books(table(spark, d, "ledger_entry"), files).select("filename", "tier")
 
 

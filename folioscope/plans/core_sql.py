@@ -54,6 +54,73 @@ def _hybrid(where: str = "true") -> str:
     rrf AS (SELECT qid, id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS INTEGER) AS rank FROM rrf_s QUALIFY rank <= 8)"""
 
 
+_STRIP_TB = r"regexp_replace(coalesce(table_body, ''), '^\s+|\s+$', '', 'g')"
+_TM = rf"""tr AS (SELECT slug, ord, table_body, list_filter(list_transform(regexp_extract_all(coalesce(table_body, ''), '(?is)<tr[^>]*>(.*?)</tr>', 1),
+      lambda r: list_transform(regexp_extract_all(r, '(?is)<t[dh][^>]*>(.*?)</t[dh]>', 1), lambda c: regexp_replace(regexp_replace(c, '<[^>]+>', '', 'g'), '^\s+|\s+$', '', 'g'))), lambda r: len(r) > 0) AS rs FROM b WHERE type = 'table'),
+    tw AS (SELECT *, list_max(list_transform(rs, lambda r: len(r))) AS width FROM tr),
+    tl AS (SELECT *, list_transform(rs, lambda r: '| ' || array_to_string(list_resize(r, width, ''), ' | ') || ' |') AS ls FROM tw),
+    tm AS (SELECT slug, ord, CASE WHEN len(rs) = 0 OR regexp_matches(coalesce(table_body, ''), '(?i)(rowspan|colspan)\s*=\s*"?([2-9]|[0-9]{{2,}})') THEN {_STRIP_TB}
+      ELSE ls[1] || chr(10) || '|' || repeat('---|', width) || CASE WHEN len(ls) > 1 THEN chr(10) || array_to_string(ls[2:], chr(10)) ELSE '' END END AS markdown FROM tl)"""
+_CAP = r"CASE WHEN regexp_replace(coalesce(caption, ''), '^\s+|\s+$', '', 'g') IN ('[]', 'None') THEN '' ELSE regexp_replace(coalesce(caption, ''), '^\s+|\s+$', '', 'g') END"
+_TXT = _TRIM.replace("text,", "coalesce(k.text, ''),")
+_RD = rf"""rd AS (SELECT * FROM (SELECT k.slug, k.ord, k.page, regexp_replace(CASE
+      WHEN type IN ('image', 'chart') THEN CASE WHEN coalesce(img_path, '') <> '' THEN '![' || {_CAP} || '](' || img_path || ')' ELSE '' END
+      WHEN type = 'table' THEN CASE WHEN markdown = '' THEN '' WHEN {_CAP} <> '' THEN {_CAP} || chr(10) || chr(10) || markdown ELSE markdown END
+      WHEN h.depth IS NOT NULL AND type <> 'equation' AND {_TXT} <> '' THEN repeat('#', CAST(h.depth AS INTEGER)) || ' ' || {_TXT} ELSE {_TXT} END, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g') AS part
+    FROM k LEFT JOIN h ON k.slug = h.slug AND k.ord = h.ord LEFT JOIN tm ON k.slug = tm.slug AND k.ord = tm.ord) WHERE part <> '')"""
+_INJ = rf"""inj AS (SELECT t.slug, t.ord, t.page, o.ord AS at, regexp_replace(o.title, '^\s+|\s+$', '', 'g') AS title, CAST(least(6, known.depth) AS INTEGER) AS depth
+    FROM t JOIN outline o ON t.slug = o.slug AND t.page = o.page JOIN known ON known.slug = o.slug AND known.key = lower(regexp_replace(o.title, '^\s+|\s+$', '', 'g'))
+    WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.slug = t.slug AND b.page = t.page AND b.ord >= t.ord AND b.text_level IS NOT NULL AND lower({_TRIM.replace("text", "b.text")}) = known.key))"""
+_PC = rf"""pq AS (SELECT slug, ord, page, unnest(string_split_regex(part, '\n{{2,}}')) AS text, unnest(range(len(string_split_regex(part, '\n{{2,}}')))) AS sub FROM rd
+      UNION ALL SELECT slug, ord, page, repeat('#', depth) || ' ' || title, inj."at" - 1000000000 FROM inj),
+    pr AS (SELECT slug, ord, CAST(sub AS INTEGER) AS sub, page, {_TRIM} AS text FROM pq WHERE {_TRIM} <> ''),
+    ps AS (SELECT *, starts_with(text, '$$') OR starts_with(text, '|') OR starts_with(text, '![') OR starts_with(text, '<table') OR starts_with(text, '```') AS atomic FROM pr),
+    pc AS (SELECT slug, ord, sub, page, CASE WHEN atomic THEN text ELSE regexp_replace(text, '(?i)</?su[bp]>', '', 'g') END AS text, atomic FROM ps)"""
+_PIECES = ", ".join([_B, _K, _TURN, _KNOWN, _H, _TM, _RD, _INJ, _PC])
+_HEAD = r"regexp_extract(text, '^(#{1,6})\s+([^\n]+?)\s*$', 2)"
+_LEVELS = ", ".join(f"last_value(CASE WHEN lev = {n} THEN title END IGNORE NULLS) OVER (PARTITION BY slug ORDER BY section_no) AS t{n}" for n in range(1, 7))
+_STACK = f"""st1 AS (SELECT *, section_no + least(0, min(depth - section_no) OVER (PARTITION BY slug ORDER BY section_no)) AS lev FROM hd),
+    st2 AS (SELECT slug, section_no, lev, {_LEVELS} FROM st1),
+    st AS (SELECT slug, section_no, list_filter([{", ".join(f"CASE WHEN lev >= {n} THEN t{n} END" for n in range(1, 7))}], lambda x: x IS NOT NULL) AS trail FROM st2)"""
+_BODY = rf"""{_PIECES}, {_M}, nn AS (SELECT *, CAST(sum(CASE WHEN {_HEAD} <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY slug ORDER BY ord, sub) AS BIGINT) AS section_no FROM pc),
+    hd AS (SELECT slug, section_no, length(regexp_extract(text, '^(#{{1,6}})\s', 1)) AS depth, {_HEAD} AS title FROM nn WHERE {_HEAD} <> ''),
+    {_STACK},
+    body AS (SELECT nn.slug, nn.section_no, nn.ord, nn.sub, nn.page, nn.text, nn.atomic, m.tier,
+      CASE WHEN st.slug IS NULL THEN coalesce(m.titles[1], '') ELSE array_to_string(list_filter(list_concat([m.titles[1]], trail), lambda x: x IS NOT NULL AND x <> ''), ' > ') END AS breadcrumb
+      FROM nn LEFT JOIN st ON nn.slug = st.slug AND nn.section_no = st.section_no LEFT JOIN m ON m.slug = nn.slug WHERE {_HEAD} = ''),
+    sec AS (SELECT slug, section_no, any_value(breadcrumb) AS breadcrumb, count(*) AS pieces, min(page) AS page_start, max(page) AS page_end,
+      CAST(greatest(1, (sum(length(text)) + 2 * (count(*) - 1)) // 4) AS INTEGER) AS tokens FROM body GROUP BY 1, 2)"""
+
+
+def _pack(name: str, rows: str, keys: str, order: str, budget: int) -> str:
+    """name: rows with n, their place in keys, and g, the number of their group."""
+    same = " AND ".join(f"{name}_r.{k.strip()} = {name}_w.{k.strip()}" for k in keys.split(","))
+    return f"""{name}_r AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY {order}) AS n FROM ({rows})),
+    {name}_w AS (SELECT {keys}, n, CAST(0 AS BIGINT) AS g, CAST(cost AS BIGINT) AS used FROM {name}_r WHERE n = 1
+      UNION ALL SELECT {", ".join(f"{name}_r.{k.strip()}" for k in keys.split(","))}, {name}_r.n, CASE WHEN used + cost > {budget} THEN g + 1 ELSE g END, CASE WHEN used + cost > {budget} THEN cost ELSE used + cost END
+      FROM {name}_w JOIN {name}_r ON {same} AND {name}_r.n = {name}_w.n + 1),
+    {name} AS (SELECT {name}_r.*, g FROM {name}_r JOIN {name}_w ON {same} AND {name}_r.n = {name}_w.n)"""
+
+
+_RUNS = _pack("rn", "SELECT slug, section_no, tokens AS cost FROM sec", "slug", "section_no", 800)
+
+
+def _make(keys: str, parent: bool, extra: str) -> str:
+    return f"""SELECT slug, {keys}, {extra} string_agg(text, chr(10) || chr(10) ORDER BY ord, sub) AS text, arg_min(breadcrumb, (ord, sub)) AS breadcrumb, min(page) AS page_start, max(page) AS page_end,
+      array_to_string(list_sort(list(DISTINCT CASE WHEN atomic THEN 'atomic' ELSE 'prose' END)), ',') AS content_types FROM ck GROUP BY ALL"""
+
+
+_ID = "substring(sha256(slug || ':{}:' || page_start || '-' || page_end || ':' || text), 1, 16)"
+_COST = "greatest(1, length(text) // 4) AS cost"
+_CHUNKS = f"""{_BODY}, {_RUNS}, {_pack("pk", f"SELECT *, {_COST} FROM body WHERE tier IN (1, 2)", "slug, section_no", "ord, sub", 2000)},
+    un AS (SELECT slug, section_no, ord, sub, page, text, atomic, breadcrumb, cost, section_no * 1000000 + g AS pkey FROM pk
+      UNION ALL SELECT body.slug, body.section_no, ord, sub, page, text, atomic, breadcrumb, {_COST}, rn.g AS pkey FROM body JOIN rn ON rn.slug = body.slug AND rn.section_no = body.section_no WHERE tier NOT IN (1, 2)),
+    {_pack("ck", "SELECT * FROM un", "slug, section_no, pkey", "ord, sub", 350)},
+    pa AS (SELECT *, {_ID.format("parent")} AS chunk_id FROM ({_make("pkey", True, "")})),
+    cd AS (SELECT *, {_ID.format("child")} AS chunk_id FROM ({_make("section_no, pkey, g", False, "")}))"""
+_OUT = "CAST(greatest(1, length({0}.text) // 4) AS INTEGER) AS tokens, m.tier AS source_tier, {0}.content_types"
+
+
 SQL = {
     "kept_blocks": f"WITH {_B}, {_K} SELECT slug, ord, type, page FROM k",
     "margin_notes": f"WITH {_B} SELECT slug, ord, text FROM b WHERE {_NOTE}",
@@ -67,6 +134,15 @@ SQL = {
     "figure_names": rf"""WITH {_B}, f AS (SELECT slug, img_path, arg_min(page, ord) AS page, min(ord) AS ord FROM b WHERE type IN ('image', 'chart') AND coalesce(img_path, '') <> '' GROUP BY 1, 2)
         SELECT slug, img_path, 'p' || lpad(CAST(page AS VARCHAR), 4, '0') || '-fig' || row_number() OVER (PARTITION BY slug, page ORDER BY ord) || regexp_extract(img_path, '(\.[^./]+)$', 1) AS name FROM f""",
     "clean_characters": f"WITH {_B} SELECT slug, ord, regexp_replace(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g') AS text FROM b",
+    "table_markdown": f"WITH {_B}, {_TM} SELECT slug, ord, markdown FROM tm",
+    "rendered_text": f"WITH {_B}, {_K}, {_KNOWN}, {_H}, {_TM}, {_RD} SELECT slug, ord, page, md5(part) AS part_md5 FROM rd",
+    "pieces": f"WITH {_PIECES} SELECT slug, ord, sub, page, text, atomic FROM pc",
+    "sections": f"WITH {_BODY} SELECT slug, section_no, breadcrumb, pieces, page_start, page_end, tokens FROM sec",
+    "heading_trails": f"WITH {_B}, {_KNOWN}, {_H}, hd AS (SELECT slug, row_number() OVER (PARTITION BY slug ORDER BY ord) AS section_no, depth, title FROM h), {_STACK} SELECT slug, section_no, array_to_string(trail, ' > ') AS trail FROM st",
+    "section_runs": f"WITH RECURSIVE {_BODY}, {_RUNS} SELECT slug, section_no, g AS run_no FROM rn",
+    "built_chunks": f"""WITH RECURSIVE {_CHUNKS}
+        SELECT pa.chunk_id, pa.slug AS book_slug, pa.breadcrumb, pa.page_start, pa.page_end, '' AS parent_id, true AS is_parent, {_OUT.format("pa")} FROM pa JOIN m ON m.slug = pa.slug
+        UNION ALL SELECT cd.chunk_id, cd.slug, cd.breadcrumb, cd.page_start, cd.page_end, pa.chunk_id, false, {_OUT.format("cd")} FROM cd JOIN m ON m.slug = cd.slug JOIN pa ON pa.slug = cd.slug AND pa.pkey = cd.pkey""",
     "page_spans": f"""WITH {_B}, {_K}, s AS (SELECT slug, min(page) AS a, max(page) AS z FROM k GROUP BY 1)
         SELECT m.slug, coalesce(a, 0) AS start, coalesce(z, 0) AS "end" FROM (SELECT DISTINCT slug FROM book_meta) m LEFT JOIN s USING (slug)""",
     "packed_lines": r"""WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM (SELECT DISTINCT ON (doc_id) doc_id, text FROM documents WHERE text IS NOT NULL)),
@@ -85,7 +161,7 @@ SQL = {
         CAST(sum(len(regexp_extract_all(text, '```'))) AS BIGINT) AS fences, CAST(sum(len(regexp_extract_all(text, '!\[[^\]]*\]\('))) AS BIGINT) AS images FROM b GROUP BY 1""",
     "books": f"WITH {_BOOKS} SELECT filename, slug, tier, array_to_string(courses, ',') AS courses, array_to_string(titles, '|') AS titles FROM bk",
     "basic_books": f"WITH {_BOOKS} SELECT filename, CAST(len(courses) AS INTEGER) AS n_courses FROM bk WHERE tier = 2",
-    "existing_books": rf"""WITH {_BOOKS}, f AS (SELECT DISTINCT unnest(courses) AS course, regexp_replace(source_path, '^.*/', '') AS filename FROM book_meta)
+    "existing_books": rf"""WITH {_BOOKS}, f AS (SELECT DISTINCT unnest(courses) AS course, regexp_replace(slug, '^[a-z]+-[a-z]+-', '') || '.pdf' AS filename FROM book_meta)
         SELECT filename, tier FROM bk WHERE filename IN (SELECT e.filename FROM ledger_entry e JOIN f ON e.course = f.course AND e.filename = f.filename)""",
     "ledger_round_trip": "SELECT DISTINCT course, tier, coalesce(title, '?') AS title, filename FROM ledger_entry WHERE tier IN (1, 2) AND course IS NOT NULL AND filename IS NOT NULL",
     "file_titles": r"""SELECT filename, array_to_string(list_transform(string_split(trim(regexp_replace(regexp_replace(filename, '\.[^.]+$', ''), '[-_]+', ' ', 'g')), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS title
