@@ -124,6 +124,24 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_found": r"""
+            WITH c AS (SELECT DISTINCT ON (chunk_id) chunk_id, text FROM chunk WHERE NOT is_parent),
+            w AS (SELECT chunk_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM c),
+            s AS (SELECT DISTINCT chunk_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT chunk_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+            n AS (SELECT chunk_id, count(*) AS n FROM s GROUP BY 1),
+            p AS (SELECT a.chunk_id AS a, b.chunk_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.chunk_id < b.chunk_id GROUP BY 1, 2)
+            SELECT a AS chunk_id_a, b AS chunk_id_b FROM p JOIN n x ON x.chunk_id = a JOIN n y ON y.chunk_id = b WHERE k >= 0.6 * (x.n + y.n - k)""",
+        "p4_found": """
+            WITH c AS (SELECT DISTINCT ON (chunk_id) chunk_id, vector FROM children WHERE len(vector) = 64 AND list_sum(list_transform(vector, lambda x: abs(x))) > 0),
+            u AS (SELECT chunk_id, list_transform(vector, lambda x: CAST(x AS DOUBLE) / sqrt(list_sum(list_transform(vector, lambda y: CAST(y AS DOUBLE) * y)))) AS u FROM c),
+            r AS (SELECT a.chunk_id AS a, b.chunk_id AS b FROM u a, u b WHERE a.chunk_id <> b.chunk_id
+              QUALIFY row_number() OVER (PARTITION BY a.chunk_id ORDER BY list_dot_product(a.u, b.u) DESC, b.chunk_id) <= 10)
+            SELECT DISTINCT least(a, b) AS chunk_id_a, greatest(a, b) AS chunk_id_b FROM r""",
+        "p8_found": """
+            -- characters stand for tokens here: by the statement of the problem, the margins hold for any usual tokenizer
+            WITH d AS (SELECT DISTINCT ON (doc_id) doc_id, source, length(text) AS n FROM documents WHERE source IN (SELECT source FROM mix_target)),
+            s AS (SELECT source, sum(n) AS n FROM d GROUP BY 1)
+            SELECT t.source FROM mix_target t LEFT JOIN s USING (source) WHERE coalesce(n, 0) * max_repeat < weight * (SELECT sum(n) FROM s)""",
         "p6_found": """
             WITH b AS (SELECT DISTINCT slug, ord, text FROM block WHERE type = 'text' AND text_level IS NULL AND text IS NOT NULL),
             l AS (SELECT slug, ord, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM b),
