@@ -31,14 +31,15 @@ def postings(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def bm25(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """qid, id, score, rank of the k best docs of each query; a query's repeated words count once. queries: qid, text."""
     p, lengths = postings(docs)
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+    stats = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
+    n, mean = F.lit(stats["n"]), F.lit(stats["mean"] or 1.0)
     terms = queries.select("qid", F.explode(F.array_distinct(T.words(F.col("text")))).alias("term"))
     # only terms of queries are weighed; the statistics stay those of all documents
     asked = p.join(terms.select("term").distinct(), "term", "left_semi")
     df = asked.groupBy("term").agg(F.count("*").alias("df"))
-    weighed = asked.join(df, "term").join(F.broadcast(stats))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+    weighed = asked.join(df, "term")
+    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean))
     scores = weighed.select("term", "id", part.alias("part")).join(terms, "term").groupBy("qid", "id").agg(F.round(F.sum("part"), 6).alias("score"))
     return top_k(scores, k)
 
