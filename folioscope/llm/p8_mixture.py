@@ -159,5 +159,5 @@ def reached(mixed: DataFrame, plan: DataFrame) -> DataFrame:
     """source, weight, reachable, tokens_used, share (of the mixture), most_repeats of every target."""
     used = mixed.groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("tokens_used"), F.max("repeats").alias("most_repeats"))
     r = plan.join(used, "source", "left").select("source", "weight", "reachable", F.coalesce("tokens_used", F.lit(0)).alias("tokens_used"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"))
-    total = r.agg(F.sum("tokens_used").alias("total"))
-    return r.join(F.broadcast(total)).select("source", "weight", "reachable", "tokens_used", (F.col("tokens_used") / F.greatest("total", F.lit(1))).alias("share"), "most_repeats")
+    total = max(1, used.agg(F.sum("tokens_used").alias("n")).first()["n"] or 0)
+    return r.select("source", "weight", "reachable", "tokens_used", (F.col("tokens_used") / total).alias("share"), "most_repeats")
