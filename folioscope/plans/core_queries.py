@@ -32,12 +32,12 @@ def _blocks(spark, d):
     return B.all_blocks(table(spark, d, "block"))
 
 
-def _chunks(spark, d):
-    return once(table(spark, d, "chunk"), "chunk_id")
+def _chunks(spark, d, *columns):
+    return once(table(spark, d, "chunk").select("chunk_id", *columns), "chunk_id")
 
 
-def _children(spark, d):
-    return once(table(spark, d, "children"), "chunk_id")
+def _children(spark, d, *columns):
+    return once(table(spark, d, "children").select("chunk_id", *columns), "chunk_id")
 
 
 def _meta(spark, d):
@@ -150,29 +150,29 @@ def built_chunks(spark, d):
 
 @query
 def token_estimates(spark, d):
-    c = _chunks(spark, d).select("chunk_id", T.token_estimate(F.col("text")).alias("tokens"), F.col("tokens").alias("stated"))
+    c = _chunks(spark, d, "text", "tokens").select("chunk_id", T.token_estimate(F.col("text")).alias("tokens"), F.col("tokens").alias("stated"))
     return c.select("chunk_id", "tokens", F.coalesce(F.col("tokens") == F.col("stated"), F.lit(False)).alias("agrees"))
 
 
 @query
 def chunk_ids(spark, d):
-    c = _chunks(spark, d)
+    c = _chunks(spark, d, "book_slug", "is_parent", "page_start", "page_end", "text")
     return c.select("chunk_id", T.content_id(F.col("book_slug"), F.col("is_parent"), F.col("page_start"), F.col("page_end"), F.col("text")).alias("computed_id"))
 
 
 @query
 def embedding_texts(spark, d):
-    return _chunks(spark, d).where("not is_parent").select("chunk_id", T.embedding_text(F.col("breadcrumb"), F.col("text")).alias("embedding_text"))
+    return _chunks(spark, d, "is_parent", "breadcrumb", "text").where("not is_parent").select("chunk_id", T.embedding_text(F.col("breadcrumb"), F.col("text")).alias("embedding_text"))
 
 
 @query
 def citations(spark, d):
-    return _chunks(spark, d).select("chunk_id", T.citation(F.col("breadcrumb"), F.col("page_start"), F.col("page_end")).alias("citation"))
+    return _chunks(spark, d, "breadcrumb", "page_start", "page_end").select("chunk_id", T.citation(F.col("breadcrumb"), F.col("page_start"), F.col("page_end")).alias("citation"))
 
 
 @query
 def content_types(spark, d):
-    c = _chunks(spark, d).select("book_slug", F.explode("content_types").alias("content_type"))
+    c = _chunks(spark, d, "book_slug", "content_types").select("book_slug", F.explode("content_types").alias("content_type"))
     return c.groupBy("book_slug", "content_type").agg(F.count("*").alias("chunks"))
 
 
@@ -224,22 +224,22 @@ def staged_books(spark, d):
 
 @query
 def manifest(spark, d):
-    return C.manifest(_chunks(spark, d))
+    return C.manifest(_chunks(spark, d, "book_slug", "is_parent"))
 
 
 @query
 def coverage(spark, d):
-    return C.coverage(_meta(spark, d), C.manifest(_chunks(spark, d)))
+    return C.coverage(_meta(spark, d), C.manifest(_chunks(spark, d, "book_slug", "is_parent")))
 
 
 @query
 def coverage_by_kind(spark, d):
-    return C.coverage_by_kind(_meta(spark, d), C.manifest(_chunks(spark, d)))
+    return C.coverage_by_kind(_meta(spark, d), C.manifest(_chunks(spark, d, "book_slug", "is_parent")))
 
 
 @query
 def status(spark, d):
-    return C.status(_meta(spark, d), C.manifest(_chunks(spark, d)))
+    return C.status(_meta(spark, d), C.manifest(_chunks(spark, d, "book_slug", "is_parent")))
 
 
 @query
@@ -275,12 +275,12 @@ def drop_outcomes(spark, d):
 
 @query
 def course_scope(spark, d):
-    return R.of_course(_chunks(spark, d), "IAP").select("chunk_id", "book_slug")
+    return R.of_course(_chunks(spark, d, "book_slug", "courses"), "IAP").select("chunk_id", "book_slug")
 
 
 @query
 def bm25_search(spark, d):
-    docs = _children(spark, d).select(F.col("chunk_id").alias("id"), "text")
+    docs = _children(spark, d, "text").select(F.col("chunk_id").alias("id"), "text")
     return R.bm25(table(spark, d, "eval_item").select(F.col("item_id").alias("qid"), "text"), docs, 8)
 
 
@@ -292,7 +292,7 @@ def vector_search(spark, d):
 
 def _book_queries(spark, d):
     """Each book asked for with its first title and the vector of its first child."""
-    first = _children(spark, d)
+    first = _children(spark, d, "book_slug", "vector")
     first = R.usable(first.select(F.col("chunk_id").alias("id"), "vector"), 64).join(first.select(F.col("chunk_id").alias("id"), "book_slug"), "id")
     vector = first.groupBy("book_slug").agg(F.min_by("vector", "id").alias("vector"))
     return _meta(spark, d).select(F.col("slug").alias("qid"), F.get("titles", 0).alias("text")).join(vector.withColumnRenamed("book_slug", "qid"), "qid")
@@ -300,41 +300,41 @@ def _book_queries(spark, d):
 
 @query
 def hybrid_search(spark, d):
-    return R.hybrid(_book_queries(spark, d), _children(spark, d), 8)
+    return R.hybrid(_book_queries(spark, d), _children(spark, d, "text", "vector", "courses"), 8)
 
 
 @query
 def course_search(spark, d):
-    return R.hybrid(_book_queries(spark, d), _children(spark, d), 8, course="IAP")
+    return R.hybrid(_book_queries(spark, d), _children(spark, d, "text", "vector", "courses"), 8, course="IAP")
 
 
 @query
 def expanded_search(spark, d):
-    c = _chunks(spark, d)
-    hits = R.expanded(R.hybrid(_book_queries(spark, d), _children(spark, d), 8), _children(spark, d), c.where("is_parent"))
+    c = _chunks(spark, d, "is_parent", "book_slug", "breadcrumb", "page_start", "page_end")
+    hits = R.expanded(R.hybrid(_book_queries(spark, d), _children(spark, d, "text", "vector", "courses"), 8), _children(spark, d, "parent_id"), c.where("is_parent"))
     return R.cited(hits, c).select("qid", "chunk_id", "score", "rank", "matched", "book_slug", "citation")
 
 
 @query
 def neighbours(spark, d):
-    return R.neighbours(_chunks(spark, d))
+    return R.neighbours(_chunks(spark, d, "book_slug", "is_parent", "seq"))
 
 
 @query
 def fetched(spark, d):
     """Every child, read on from."""
-    c = _chunks(spark, d)
+    c = _chunks(spark, d, "book_slug", "is_parent", "seq", "parent_id")
     return R.fetched(c.where("not is_parent").select("chunk_id"), c)
 
 
 @query
 def located(spark, d):
-    return R.located(_children(spark, d).select("chunk_id"), _chunks(spark, d))
+    return R.located(_children(spark, d), _chunks(spark, d, "book_slug"))
 
 
 @query
 def encoded_children(spark, d):
-    return E.encoded(_children(spark, d).select(F.col("chunk_id").alias("id"), "text"))
+    return E.encoded(_children(spark, d, "text").select(F.col("chunk_id").alias("id"), "text"))
 
 
 @query

@@ -13,18 +13,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def once(df: DataFrame, *keys: str) -> DataFrame:
     """One row per key: redelivered rows have the same content, so any of them will do.
 
-    Rows with a null in the key can't be addressed and are left out. The choice between rows that
-    differ in spite of the rule is the latest loaded_at where there is such a column.
+    Rows with a null in the key can't be addressed and are left out. Where there is a column loaded_at, the
+    latest row is taken. Select the columns that are needed first: all of df's columns are shuffled.
     """
     df = df.where(" and ".join(f"`{k}` is not null" for k in keys))
     rest = [c for c in df.columns if c not in keys]
     if not rest:
         return df.distinct()
     row = F.struct(*[F.col(f"`{c}`") for c in rest])
-    by = F.struct("loaded_at", row) if "loaded_at" in df.columns and _orderable(df, rest) else None
-    best = F.max_by(row, by) if by is not None else F.first(row)
+    loaded = "loaded_at" in df.columns
+    best = F.max_by(row, F.coalesce("loaded_at", F.lit("0001-01-01").cast("timestamp"))) if loaded else F.first(row)
     return df.groupBy(*keys).agg(best.alias("_row")).select(*keys, "_row.*").select(*df.columns)
-
-
-def _orderable(df: DataFrame, columns: list[str]) -> bool:
-    return not any("map<" in t for c, t in df.dtypes if c in columns)
