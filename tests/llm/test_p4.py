@@ -44,3 +44,13 @@ def test_few_rows_and_ties(spark):
     assert got == {("a", 1): "b", ("a", 2): "c", ("b", 1): "a", ("b", 2): "c", ("c", 1): "a", ("c", 2): "b", ("d", 1): "a", ("d", 2): "b"}
     assert P.neighbours(df.where("chunk_id = 'a'"), k=2, size=2).count() == 0
     assert P.neighbours(df.where("false"), k=2, size=2).count() == 0
+
+
+def test_a_third_are_copies(spark):
+    r = np.random.default_rng(8)
+    rows = [(f"c{i:04}", [1.0] * 64) for i in range(1500)] + [(f"v{i:04}", r.normal(size=64).astype(np.float32).tolist()) for i in range(1500)]
+    got = {}
+    for g in P.neighbours(spark.createDataFrame(rows, "chunk_id string, vector array<float>"), block=1000).collect():
+        got.setdefault(g.id, {})[g.rank] = g.other
+    first = [f"c{i:04}" for i in range(11)]
+    assert all([got[f"c{i:04}"][n] for n in range(1, 11)] == [c for c in first if c != f"c{i:04}"][:10] for i in range(1500))
