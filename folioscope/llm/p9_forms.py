@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
+from ..session import written
+
 # Ranges of code points that Unicode calls default-ignorable.
 IGNORABLE = [
     (0xAD, 0xAD), (0x34F, 0x34F), (0x61C, 0x61C), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F),
@@ -118,7 +120,7 @@ def same_looking_pairs(documents: DataFrame, doc_id: str = "doc_id", text: str =
     Copies of one text make no pair. Forms with one text only, however many copies it has, are left
     out by an aggregate before anything is joined, so no pairs inside a group of copies are made.
     """
-    d = same_looking(documents, doc_id, text).distinct()
+    d = written(same_looking(documents, doc_id, text).distinct())  # three reads follow
     mixed = (
         d.groupBy("form_id").agg(F.min("text_id").alias("lo"), F.max("text_id").alias("hi")).where("lo <> hi").select("form_id")
     )
