@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.ordered import running
+from ..session import written
 
 K1, B, FUSION = 1.2, 0.75, 60
 #: Query vectors that one pass over the vectors holds (of 64 numbers, 13 MB in float32).
@@ -35,7 +36,7 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     n, mean = F.lit(stats["n"]), F.lit(stats["mean"] or 1.0)
     terms = queries.select("qid", F.explode(F.array_distinct(T.words(F.col("text")))).alias("term"))
     # only terms of queries are weighed; the statistics stay those of all documents
-    asked = p.join(terms.select("term").distinct(), "term", "left_semi")
+    asked = written(p.join(terms.select("term").distinct(), "term", "left_semi"))
     df = asked.groupBy("term").agg(F.count("*").alias("df"))
     weighed = asked.join(df, "term")
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
