@@ -122,32 +122,44 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit() and isinstance(f, type(queries))}
 
 
-def oracle_sql() -> dict[str, str]:
-    return {
-        "p1_found": r"""
-            WITH c AS (SELECT DISTINCT ON (chunk_id) chunk_id, text FROM chunk WHERE NOT is_parent),
+_PAIRS = r"""c AS (SELECT DISTINCT ON (chunk_id) chunk_id, text FROM chunk WHERE NOT is_parent),
             w AS (SELECT chunk_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM c),
             s AS (SELECT DISTINCT chunk_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT chunk_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
             n AS (SELECT chunk_id, count(*) AS n FROM s GROUP BY 1),
-            p AS (SELECT a.chunk_id AS a, b.chunk_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.chunk_id < b.chunk_id GROUP BY 1, 2)
-            SELECT a AS chunk_id_a, b AS chunk_id_b FROM p JOIN n x ON x.chunk_id = a JOIN n y ON y.chunk_id = b WHERE k >= 0.6 * (x.n + y.n - k)""",
-        "p4_found": """
-            WITH c AS (SELECT DISTINCT ON (chunk_id) chunk_id, vector FROM children WHERE len(vector) = 64 AND list_sum(list_transform(vector, lambda x: abs(x))) > 0),
+            p AS (SELECT a.chunk_id AS a, b.chunk_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.chunk_id < b.chunk_id GROUP BY 1, 2),
+            f AS (SELECT a, b FROM p JOIN n x ON x.chunk_id = a JOIN n y ON y.chunk_id = b WHERE k >= 0.6 * (x.n + y.n - k))"""
+_RANKED = """c AS (SELECT DISTINCT ON (chunk_id) chunk_id, vector FROM children WHERE len(vector) = 64 AND list_sum(list_transform(vector, lambda x: abs(x))) > 0),
             u AS (SELECT chunk_id, list_transform(vector, lambda x: CAST(x AS DOUBLE) / sqrt(list_sum(list_transform(vector, lambda y: CAST(y AS DOUBLE) * y)))) AS u FROM c),
-            r AS (SELECT a.chunk_id AS a, b.chunk_id AS b FROM u a, u b WHERE a.chunk_id <> b.chunk_id
-              QUALIFY row_number() OVER (PARTITION BY a.chunk_id ORDER BY list_dot_product(a.u, b.u) DESC, b.chunk_id) <= 10)
-            SELECT DISTINCT least(a, b) AS chunk_id_a, greatest(a, b) AS chunk_id_b FROM r""",
+            r AS (SELECT a.chunk_id AS a, b.chunk_id AS b, list_dot_product(a.u, b.u) AS sim,
+              row_number() OVER (PARTITION BY a.chunk_id ORDER BY list_dot_product(a.u, b.u) DESC, b.chunk_id) AS rank FROM u a, u b WHERE a.chunk_id <> b.chunk_id QUALIFY rank <= 10)"""
+_KEY = r"regexp_replace(regexp_replace(lower(trim(regexp_replace(line, '\s+', ' ', 'g'))), '\s+', ' ', 'g'), '[0-9]+', '0', 'g')"
+_LINES = f"""b AS (SELECT DISTINCT ON (slug, ord) slug, ord, text FROM block WHERE type = 'text' AND text_level IS NULL),
+            l AS (SELECT slug, ord, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM b WHERE text IS NOT NULL),
+            k AS (SELECT slug, ord, line_no, line AS raw, {_KEY} AS line FROM l),
+            f AS (SELECT slug, line FROM k WHERE line <> '' GROUP BY slug, line HAVING count(DISTINCT ord) >= 6)"""
+_KEPT = "coalesce(string_agg(raw, chr(10) ORDER BY line_no) FILTER (f.line IS NULL), '') AS clean, count(f.line) AS removed"
+
+
+def oracle_sql() -> dict[str, str]:
+    return {
+        "p1_groups": f"""
+            WITH RECURSIVE {_PAIRS}, e AS (SELECT a, b FROM f UNION ALL SELECT b, a FROM f),
+            t(a, b) AS (SELECT a, b FROM e UNION SELECT t.a, e.b FROM t JOIN e ON t.b = e.a),
+            g AS (SELECT a, min(b) AS m FROM t GROUP BY 1), d AS (SELECT a, count(*) AS links FROM e GROUP BY 1)
+            SELECT c.chunk_id, least(c.chunk_id, coalesce(g.m, c.chunk_id)) AS group_id, coalesce(links, 0) AS links FROM c LEFT JOIN g ON g.a = c.chunk_id LEFT JOIN d ON d.a = c.chunk_id""",
+        "p4_neighbours_of": f"WITH {_RANKED} SELECT a AS id, CAST(rank AS INTEGER) AS rank, b AS other, round(sim, 6) AS similarity FROM r",
+        "p6_clean_blocks": f"WITH {_LINES} SELECT k.slug, k.ord, {_KEPT} FROM k LEFT JOIN f ON f.slug = k.slug AND f.line = k.line GROUP BY 1, 2",
+        "p6_clean_chunks": f"""WITH {_LINES}, cl AS (SELECT chunk_id, book_slug AS slug, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM (SELECT DISTINCT ON (chunk_id) * FROM chunk)),
+            ck AS (SELECT chunk_id, slug, line_no, line AS raw, {_KEY} AS line FROM cl)
+            SELECT chunk_id, {_KEPT} FROM ck LEFT JOIN f ON f.slug = ck.slug AND f.line = ck.line GROUP BY 1""",
+        "p1_found": f"WITH {_PAIRS} SELECT a AS chunk_id_a, b AS chunk_id_b FROM f",
+        "p4_found": f"WITH {_RANKED} SELECT DISTINCT least(a, b) AS chunk_id_a, greatest(a, b) AS chunk_id_b FROM r",
         "p8_found": """
             -- characters stand for tokens here: by the statement of the problem, the margins hold for any usual tokenizer
             WITH d AS (SELECT DISTINCT ON (doc_id) doc_id, source, length(text) AS n FROM documents WHERE source IN (SELECT source FROM mix_target)),
             s AS (SELECT source, sum(n) AS n FROM d GROUP BY 1)
             SELECT t.source FROM mix_target t LEFT JOIN s USING (source) WHERE coalesce(n, 0) * max_repeat < weight * (SELECT sum(n) FROM s)""",
-        "p6_found": """
-            WITH b AS (SELECT DISTINCT slug, ord, text FROM block WHERE type = 'text' AND text_level IS NULL AND text IS NOT NULL),
-            l AS (SELECT slug, ord, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM b),
-            k AS (SELECT slug, ord, line_no, regexp_replace(regexp_replace(lower(trim(regexp_replace(line, '\\s+', ' ', 'g'))), '\\s+', ' ', 'g'), '[0-9]+', '0', 'g') AS line FROM l),
-            f AS (SELECT slug, line FROM k WHERE line <> '' GROUP BY slug, line HAVING count(DISTINCT ord) >= 6)
-            SELECT slug, ord, CAST(line_no AS INTEGER) AS line_no FROM k JOIN f USING (slug, line)""",
+        "p6_found": f"WITH {_LINES} SELECT slug, ord, CAST(line_no AS INTEGER) AS line_no FROM k JOIN f USING (slug, line)",
         "p5_found": """
             SELECT DISTINCT chunk_id FROM chunk
             WHERE (length(text) + CASE WHEN coalesce(breadcrumb, '') <> '' THEN length(breadcrumb) + 2 ELSE 0 END) // 4
