@@ -6,8 +6,10 @@ before and after are compared, the valleys of that similarity mark topic boundar
 each window of allowed lengths the deepest valley is the cut. Where a window holds no sentence end,
 the last line end, else the last white space, else the limit itself is taken.
 
-Null or empty texts have nothing to split and give no piece; a null breadcrumb counts as empty.
-A breadcrumb longer than half the limit is left off the pieces (they would hold little else).
+A null text is no oversized chunk; a null breadcrumb counts as empty. A breadcrumb stays on the pieces as
+long as it leaves room for one character of text, which makes small and many pieces of a text under a long
+one; they leave Python in slices of SLICE characters. Only a breadcrumb that fills the limit by itself is
+left off, as no piece under the limit could carry it.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CHILD_LIMIT, PARENT_LIMIT, OVERLAP, BLOCK = 350, 2000, 40, 3
+SLICE = 4_000_000
 _ENDS = re.compile(r"(?:\n\s*)+|(?<=[.!?…;:])[\"'”»)\]]*\s+")
 _WORD = re.compile(r"[^\W_]+")
 
@@ -104,18 +107,22 @@ def split_text(text: str, room: int, overlap: int, block: int = BLOCK) -> list[t
 
 
 def _pieces(limits: tuple[int, int], overlap: int, block: int):
+    columns = ["chunk_id", "piece_no", "start", "own_start", "end", "text", "tokens", "pieces"]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for key, crumb, text, parent in zip(batch["chunk_id"], batch["breadcrumb"], batch["text"], batch["is_parent"]):
                 limit = limits[bool(parent)]
                 head = f"{crumb}\n\n" if crumb else ""
-                if len(head) > 2 * limit:
+                if len(head) >= 4 * limit:
                     head = ""
-                cut = split_text(text, 4 * limit - len(head), 4 * overlap, block)
-                yield pd.DataFrame(
-                    [(key, n, s, o, e, head + text[s:e], (len(head) + e - s) // 4, len(cut)) for n, (s, o, e) in enumerate(cut)],
-                    columns=["chunk_id", "piece_no", "start", "own_start", "end", "text", "tokens", "pieces"],
-                )
+                cut = split_text(text, 4 * limit - len(head), 4 * overlap, block) or [(0, 0, 0)]
+                step = max(1, SLICE // (4 * limit))
+                for at in range(0, len(cut), step):
+                    yield pd.DataFrame(
+                        [(key, n, s, o, e, head + text[s:e], (len(head) + e - s) // 4, len(cut)) for n, (s, o, e) in enumerate(cut[at : at + step], at)],
+                        columns=columns,
+                    )
 
     return run
 
@@ -128,8 +135,13 @@ def oversized(chunks: DataFrame, child: int = CHILD_LIMIT, parent: int = PARENT_
     return big.where("chunk_id is not null").groupBy("chunk_id").agg(F.first(F.struct("breadcrumb", "text", "is_parent")).alias("r")).select("chunk_id", "r.*")
 
 
-def split_chunks(chunks: DataFrame, child: int = CHILD_LIMIT, parent: int = PARENT_LIMIT, overlap: int = OVERLAP, block: int = BLOCK) -> DataFrame:
-    """The pieces of every oversized chunk: chunk_id, piece_no, start, own_start, end (offsets in the
-    chunk's text), text (under its breadcrumb), tokens, pieces (of that chunk)."""
+def split_oversized(chunks: DataFrame, child: int = CHILD_LIMIT, parent: int = PARENT_LIMIT, overlap: int = OVERLAP, block: int = BLOCK) -> DataFrame:
+    """The pieces of every oversized chunk, at least one of each: chunk_id, piece_no, start, own_start, end (offsets
+    in the chunk's text), text (under its breadcrumb), tokens, pieces (of that chunk). An empty text is one empty piece."""
     schema = "chunk_id string, piece_no int, start int, own_start int, end int, text string, tokens int, pieces int"
     return oversized(chunks, child, parent).mapInPandas(_pieces((child, parent), overlap, block), schema)
+
+
+def split_chunks(chunks: DataFrame, child: int = CHILD_LIMIT, parent: int = PARENT_LIMIT, overlap: int = OVERLAP, block: int = BLOCK) -> DataFrame:
+    """The pieces of split_oversized that hold text."""
+    return split_oversized(chunks, child, parent, overlap, block).where("end > start")

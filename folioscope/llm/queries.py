@@ -57,11 +57,11 @@ def p4_neighbours_of(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    return p5_pieces.split_chunks(table(spark, folder, "chunk")).where("pieces > 1").select("chunk_id").distinct()
+    return p5_pieces.split_oversized(table(spark, folder, "chunk")).select("chunk_id").distinct()
 
 
 def p5_split(spark: SparkSession, folder: str) -> DataFrame:
-    return p5_pieces.split_chunks(table(spark, folder, "chunk"))
+    return p5_pieces.split_oversized(table(spark, folder, "chunk"))
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,7 +1,9 @@
+import pandas as pd
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from folioscope.llm import p5_pieces as P
+from folioscope.llm import queries as Q
 
 
 @settings(max_examples=300, deadline=None)
@@ -40,3 +42,32 @@ def test_rows(spark):
     shared = [a.end - b.start for a, b in zip(got["big"], got["big"][1:])]
     assert all(100 < n <= 160 for n in shared)
     assert P.split_chunks(df.where("false")).count() == 0
+
+
+def test_long_breadcrumbs(spark, tmp_path):
+    rows = [
+        ("child", "c" * 900, "y " * 300, False), ("parent", "c" * 5000, "word " * 800, True), ("no room", "c" * 1398, "short", False),
+        ("least room", "c" * 1397, "seven words", False), ("empty", "c" * 5000, "", False), ("fits", "c" * 900, "y " * 250, False),
+    ]
+    df = spark.createDataFrame(rows, "chunk_id string, breadcrumb string, text string, is_parent boolean")
+    got = {}
+    for x in P.split_oversized(df).collect():
+        got.setdefault(x.chunk_id, []).append(x)
+    assert set(got) == {"child", "parent", "no room", "least room", "empty"}
+    for key, crumb, text, parent in rows[:-1]:
+        pieces = sorted(got[key], key=lambda x: x.piece_no)
+        head = f"{crumb}\n\n" if key in ("child", "parent", "least room") else ""
+        assert "".join(text[x.own_start : x.end] for x in pieces) == text and [x.piece_no for x in pieces] == list(range(pieces[0].pieces))
+        assert all(x.text == head + text[x.start : x.end] and x.tokens <= (2000 if parent else 350) for x in pieces)
+    assert len(got["least room"]) == 11
+    df.write.parquet(str(tmp_path / "chunk.parquet"))
+    assert {x.chunk_id for x in Q.p5_found(spark, str(tmp_path)).collect()} == set(got)
+    assert {x.chunk_id for x in Q.p5_split(spark, str(tmp_path)).collect()} == set(got)
+
+
+def test_many_pieces_leave_in_slices(monkeypatch):
+    monkeypatch.setattr(P, "SLICE", 400)
+    batch = pd.DataFrame([("k", "c" * 90, "word " * 40, False)], columns=["chunk_id", "breadcrumb", "text", "is_parent"])
+    out = list(P._pieces((25, 50), 10, 3)([batch]))
+    assert len(out) > 1 and all(len(x) <= 4 for x in out)
+    assert [n for x in out for n in x["piece_no"]] == list(range(out[0]["pieces"][0]))
