@@ -131,6 +131,11 @@ def plain_blocks(block: DataFrame) -> DataFrame:
     return once(b, "slug", "ord").select(F.col("slug").alias("source"), "ord", "text")
 
 
+def all_blocks(block: DataFrame) -> DataFrame:
+    """source, ord, text of the blocks of every type, each once."""
+    return once(block.select("slug", "ord", "text"), "slug", "ord").select(F.col("slug").alias("source"), "ord", "text")
+
+
 def repeated_line_places(block: DataFrame, least: int = LEAST) -> DataFrame:
     """slug, ord, line_no of every line of a block that lies in a block of lines that repeats in its book."""
     b = plain_blocks(block)

@@ -80,6 +80,13 @@ def p6_clean_blocks(spark: SparkSession, folder: str) -> DataFrame:
     return clean.select(F.col("source").alias("slug"), "ord", "clean", "removed")
 
 
+def p6_clean_every_block(spark: SparkSession, folder: str) -> DataFrame:
+    """p6_clean_blocks over the blocks of every type; the repeated lines are still those of the text blocks."""
+    block = table(spark, folder, "block")
+    clean = p6_lines.without_lines(p6_lines.all_blocks(block), p6_lines.repeated_lines(p6_lines.plain_blocks(block)), ["source", "ord"])
+    return clean.select(F.col("source").alias("slug"), "ord", "clean", "removed")
+
+
 def p6_clean_chunks(spark: SparkSession, folder: str) -> DataFrame:
     repeated = p6_lines.repeated_lines(p6_lines.plain_blocks(table(spark, folder, "block")))
     c = once(table(spark, folder, "chunk").select("chunk_id", F.col("book_slug").alias("source"), "text"), "chunk_id")
@@ -149,6 +156,11 @@ def oracle_sql() -> dict[str, str]:
             SELECT c.chunk_id, least(c.chunk_id, coalesce(g.m, c.chunk_id)) AS group_id, coalesce(links, 0) AS links FROM c LEFT JOIN g ON g.a = c.chunk_id LEFT JOIN d ON d.a = c.chunk_id""",
         "p4_neighbours_of": f"WITH {_RANKED} SELECT a AS id, CAST(rank AS INTEGER) AS rank, b AS other, round(sim, 6) AS similarity FROM r",
         "p6_clean_blocks": f"WITH {_LINES} SELECT k.slug, k.ord, {_KEPT} FROM k LEFT JOIN f ON f.slug = k.slug AND f.line = k.line GROUP BY 1, 2",
+        "p6_clean_every_block": f"""WITH {_LINES}, al AS (SELECT slug, ord, text, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS line_no
+              FROM (SELECT DISTINCT ON (slug, ord) slug, ord, text FROM block)),
+            ak AS (SELECT slug, ord, text, line_no, line AS raw, {_KEY} AS line FROM al)
+            SELECT ak.slug, ak.ord, CASE WHEN ak.text IS NOT NULL THEN coalesce(string_agg(raw, chr(10) ORDER BY line_no) FILTER (f.line IS NULL), '') END AS clean, count(f.line) AS removed
+            FROM ak LEFT JOIN f ON f.slug = ak.slug AND f.line = ak.line GROUP BY ak.slug, ak.ord, ak.text""",
         "p6_clean_chunks": f"""WITH {_LINES}, cl AS (SELECT chunk_id, book_slug AS slug, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM (SELECT DISTINCT ON (chunk_id) * FROM chunk)),
             ck AS (SELECT chunk_id, slug, line_no, line AS raw, {_KEY} AS line FROM cl)
             SELECT chunk_id, {_KEPT} FROM ck LEFT JOIN f ON f.slug = ck.slug AND f.line = ck.line GROUP BY 1""",
