@@ -89,7 +89,8 @@ def rendered_blocks(blocks: DataFrame, outline: DataFrame, figures: DataFrame |
     heading = (F.col("depth").isNotNull()) & (F.col("type") != "equation") & (text != "")
     text = F.when(heading, F.concat(F.repeat(F.lit("#"), F.col("depth")), F.lit(" "), text)).otherwise(text)
     part = F.when(F.col("type").isin(FIGURES), figure).when(F.col("type") == "table", table).otherwise(text)
-    return k.select("slug", "ord", "page", T.without_controls(part).alias("part")).where("part <> ''")
+    # through explode, which computes the part once, where the filter would compute it again
+    return k.select("slug", "ord", "page", F.explode(F.array(T.without_controls(part))).alias("part")).where("part <> ''")
 
 
 def page_spans(blocks: DataFrame, books: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,32 +18,111 @@ from ..functions.ordered import running
 from ..session import written
 
 K1, B, FUSION = 1.2, 0.75, 60
-#: Query vectors that one pass over the vectors holds (of 64 numbers, 13 MB in float32).
-QUERY_BLOCK = 50_000
+#: Query vectors that one pass over the vectors holds (of 64 numbers, 13 MB in float32), and terms of queries that one over the docs holds.
+QUERY_BLOCK, QUERY_TERMS = 50_000, 500_000
 
 
-def postings(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(postings: id, term, tf, length; lengths: id, length) of docs (id, text)."""
-    w = docs.where("id is not null and text is not null").select("id", T.words(F.col("text")).alias("w"))
-    w = w.select("id", "w", F.size("w").alias("length"))
-    tf = w.select("id", "length", F.explode("w").alias("term")).groupBy("id", "length", "term").agg(F.count("*").alias("tf"))
-    return tf, w.select("id", "length")
+def _mapped(held):
+    """id, length, terms, tfs of docs: of a doc's words only those that a query asks for, as their numbers, with their counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = held.value
+        for batch in batches:
+            words = batch.column("w")
+            n, flat = len(words), words.flatten().dictionary_encode()
+            number = np.array([numbers.get(x, -1) for x in flat.dictionary.to_pylist()] or [-1], np.int64)
+            length = np.diff(words.offsets.to_numpy())
+            term = number[flat.indices.to_numpy()] if len(flat) else np.zeros(0, np.int64)
+            doc = np.repeat(np.arange(n), length)[term >= 0]
+            pairs, tf = np.unique(doc * max(1, len(numbers)) + term[term >= 0], return_counts=True)
+            doc, term = np.divmod(pairs, max(1, len(numbers)))
+            offsets = pa.array(np.searchsorted(doc, np.arange(n + 1)), pa.int32())
+            yield pa.record_batch({
+                "id": batch.column("id"), "length": pa.array(length.astype(np.int64)),
+                "terms": pa.ListArray.from_arrays(offsets, pa.array(term.astype(np.int32))), "tfs": pa.ListArray.from_arrays(offsets, pa.array(tf.astype(np.int32))),
+            })
+
+    return run
+
+
+def _best(scores: np.ndarray, names: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the k highest scores of each row that reach the row's floor, ties by name."""
+    if scores.shape[1] > k:
+        floor = np.maximum(floor, -np.partition(-scores, k - 1, axis=1)[:, k - 1])
+    rows, cols = np.nonzero(scores >= floor[:, None])
+    order = np.lexsort((names[cols], -scores[rows, cols], rows))
+    rows, cols = rows[order], cols[order]
+    keep = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+    return rows[keep], cols[keep]
+
+
+def _weighing(held, k: int, kind: str):
+    """The k best docs of each query in a task. A query's floor is the k-th best score that its task has seen."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qids, starts, asked, idf, mean = held.value
+        by_query = [asked[a:b] for a, b in zip(starts, starts[1:])]
+        seen = np.full((len(qids), k), -1.0)
+        for batch in batches:
+            length = batch.column("length").to_numpy().astype(np.float64)
+            counts = np.diff(batch.column("terms").offsets.to_numpy())
+            doc = np.repeat(np.arange(len(length)), counts)
+            term, tf = batch.column("terms").flatten().to_numpy(), batch.column("tfs").flatten().to_numpy().astype(np.float64)
+            order = np.argsort(term, kind="stable")
+            doc, term, tf = doc[order], term[order], tf[order]
+            part = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / mean))
+            first = np.searchsorted(term, np.arange(len(idf) + 1))
+            ids = batch.column("id")
+            names = np.argsort(np.argsort(np.array(ids.to_pylist(), dtype=object if pa.types.is_string(ids.type) else None), kind="stable"), kind="stable")
+            for s in range(0, len(qids), 256):
+                scores = np.zeros((min(256, len(qids) - s), len(length)))
+                for r in range(len(scores)):
+                    for t in by_query[s + r]:
+                        a, b = first[t], first[t + 1]
+                        scores[r, doc[a:b]] += part[a:b]
+                none = scores == 0
+                scores = np.round(scores, 6)
+                scores[none] = -1
+                own = seen[s : s + len(scores)]
+                rows, cols = _best(scores, names, np.maximum(own[:, 0], 0), k)
+                for r in np.unique(rows):
+                    own[r] = np.sort(np.concatenate([own[r], scores[r, cols[rows == r]]]))[-k:]
+                yield pa.record_batch({"qid": pa.array([qids[s + r] for r in rows], kind), "id": ids.take(pa.array(cols)), "score": pa.array(scores[rows, cols])})
+
+    return run
 
 
 def bm25(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """qid, id, score, rank of the k best docs of each query; a query's repeated words count once. queries: qid, text."""
-    p, lengths = postings(docs)
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
-    n, mean = F.lit(stats["n"]), F.lit(stats["mean"] or 1.0)
-    terms = queries.select("qid", F.explode(F.array_distinct(T.words(F.col("text")))).alias("term"))
-    # only terms of queries are weighed; the statistics stay those of all documents
-    asked = written(p.join(terms.select("term").distinct(), "term", "left_semi"))
-    df = asked.groupBy("term").agg(F.count("*").alias("df"))
-    weighed = asked.join(df, "term")
-    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean))
-    scores = weighed.select("term", "id", part.alias("part")).join(terms, "term").groupBy("qid", "id").agg(F.round(F.sum("part"), 6).alias("score"))
-    return top_k(scores, k)
+    """qid, id, score, rank of the k best docs of each query; a query's repeated words count once. queries: qid, text; docs: id, text.
+
+    Queries go out in blocks of about QUERY_TERMS terms. All docs are held against a block: each becomes a row of the
+    block's terms, written once, of which document frequencies are counted in Spark; then each task scores its docs
+    and gives on the k best of each query only, and none below the k-th that it has seen. No posting is shuffled, so a
+    word that every document has is no hot key. Statistics are those of all docs. Nulls match nothing.
+    """
+    spark = docs.sparkSession
+    w = docs.where("id is not null and text is not null").select("id", T.words(F.col("text")).alias("w"))
+    terms = queries.where("qid is not null").groupBy("qid").agg(F.array_distinct(F.flatten(F.collect_list(T.words(F.col("text"))))).alias("w")).where("size(w) > 0")
+    blocks = max(1, -(-(terms.agg(F.sum(F.size("w")).alias("n")).first()["n"] or 0) // QUERY_TERMS))
+    if blocks > 1:
+        w, terms = written(w), written(terms)
+    id_type, qid_type, found = dict(w.dtypes)["id"], dict(terms.dtypes)["qid"], None
+    for n in range(blocks):
+        block = (terms if blocks == 1 else terms.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == n)).collect()
+        numbers: dict[str, int] = {}
+        asked = [np.array([numbers.setdefault(x, len(numbers)) for x in r["w"]], np.int64) for r in block]
+        held = spark.sparkContext.broadcast(numbers)
+        rows = written(w.mapInArrow(_mapped(held), f"id {id_type}, length long, terms array<int>, tfs array<int>"))
+        size = rows.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
+        df = np.zeros(len(numbers))
+        for r in rows.select(F.explode("terms").alias("term")).groupBy("term").count().collect():  # one row a term of the block
+            df[r["term"]] = r["count"]
+        idf = np.log(1 + (size["n"] - df + 0.5) / (df + 0.5))
+        kind = pa.int64() if qid_type in ("bigint", "int", "smallint", "tinyint") else pa.string()
+        index = spark.sparkContext.broadcast(([r["qid"] for r in block], np.cumsum([0, *map(len, asked)]), np.concatenate([*asked, np.zeros(0, np.int64)]), idf, size["mean"] or 1.0))
+        part = rows.mapInArrow(_weighing(index, k, kind), f"qid {'bigint' if pa.types.is_int64(kind) else 'string'}, id {id_type}, score double")
+        found = part if found is None else found.unionByName(part)
+    return top_k(found.withColumn("qid", F.col("qid").cast(qid_type)), k)
 
 
 def top_k(scores: DataFrame, k: int) -> DataFrame:
@@ -69,14 +149,8 @@ def _scoring(held, k: int, itself: bool):
                 scores = np.round(q[s : s + 1024] @ x.T, 6)
                 if itself:
                     scores[ids[s : s + 1024, None] == names[None, :]] = -9
-                order = np.lexsort((np.broadcast_to(names, scores.shape), -scores), axis=1)[:, :k] if len(names) <= k else None
-                if order is None:
-                    least = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
-                    rows, cols = np.nonzero(scores >= least[:, None])  # with all ties of the k-th
-                else:
-                    rows, cols = np.repeat(np.arange(len(scores)), order.shape[1]), order.ravel()
-                keep = scores[rows, cols] > -5
-                yield pd.DataFrame({"qid": ids[s + rows[keep]], "id": names[cols[keep]], "score": scores[rows[keep], cols[keep]]})
+                rows, cols = _best(scores, names, np.full(len(scores), -5.0), k)
+                yield pd.DataFrame({"qid": ids[s + rows], "id": names[cols], "score": scores[rows, cols]})
 
     return run
 
@@ -91,6 +165,8 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, size: int = 64, itse
     v, q = usable(vectors, size), usable(queries.withColumnRenamed("qid", "id"), size)
     blocks = max(1, -(-q.count() // QUERY_BLOCK))
     kind, found = dict(v.dtypes)["id"], None
+    if blocks > 1:
+        q = written(q)
     for n in range(blocks):
         rows = (q if blocks == 1 else q.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == n)).toPandas()
         if not len(rows):

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.ordered import running
+from ..functions.ordered import BUCKET, running
 from ..session import written
 from . import blocks as B
 
@@ -22,6 +23,8 @@ def pieces(blocks: DataFrame, outline: DataFrame, figures: DataFrame | None = No
 
     Parts split at empty lines; headings that only the outline has come before the block at which their page begins.
     """
+    # headings, page turns and parts all read the unique blocks, which are written once, each row with what the branches need
+    blocks = written(blocks.select("slug", "ord", "type", "page", "text", "text_level", "img_path", "caption", "table_body"))
     parts = B.rendered_blocks(blocks, outline, figures)
     p = parts.select("slug", "ord", "page", F.posexplode(F.split("part", r"\n{2,}")).alias("sub", "text"))
     i = B.injected_headings(blocks, outline)
@@ -72,32 +75,93 @@ def sections(body: DataFrame) -> DataFrame:
     return s.select("slug", "section_no", "breadcrumb", "pieces", "page_start", "page_end", tokens.alias("tokens"))
 
 
-def _packing(keys: list[str], cost: str, budget: int, out: str):
+def _groups(columns: list[str], cost: str, budget: int, out: str):
+    """A pass over rows sorted by key and order; columns _used and _group say with what the pass begins."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, group, used = None, 0, 0
         for batch in batches:
             numbers = []
-            for row in zip(*[batch[k] for k in keys], batch[cost]):
-                if row[:-1] != key:
-                    key, group, used = row[:-1], 0, 0
-                elif used + row[-1] > budget:
+            for row in zip(*[batch[k] for k in columns], batch["_used"], batch["_group"], batch[cost]):
+                *own, used_in, group_in, c = row
+                if own != key:
+                    key, group, used = own, group_in, used_in
+                if used and used + c > budget:
                     group, used = group + 1, 0
-                used += row[-1]
+                used += c
                 numbers.append(group)
-            yield batch.assign(**{out: numbers})
+            yield batch.drop(columns=[cost, "_used", "_group"]).assign(**{out: numbers})
+
+    return run
+
+
+def _carries(columns: list[str], cost: str, budget: int):
+    """For each key and bucket: with what used and group numbers it ends, for each used cost that it may begin with."""
+
+    def row(key, used, group) -> pd.DataFrame:
+        return pd.DataFrame({**{k: [v] for k, v in zip(columns, key)}, "used": [used.tolist()], "groups": [group.tolist()]})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, used, group = None, None, None
+        for batch in batches:
+            for *own, c in zip(*[batch[k] for k in columns], batch[cost]):
+                if own != key:
+                    if key is not None:
+                        yield row(key, used, group)
+                    key, used, group = own, np.arange(budget + 1), np.zeros(budget + 1, np.int64)
+                full = (used > 0) & (used + c > budget)
+                group += full
+                used = np.where(full, 0, used) + c
+        if key is not None:
+            yield row(key, used, group)
+
+    return run
+
+
+def _starts(columns: list[str], budget: int):
+    """A pass over the buckets of each key in order: with what each begins."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, used, group = None, 0, 0
+        for batch in batches:
+            out = []
+            for *own, bucket, ends, groups in zip(*[batch[k] for k in columns], batch["_b"], batch["used"], batch["groups"]):
+                if own != key:
+                    key, used, group = own, 0, 0
+                out.append((*own, bucket, used, group))
+                at = min(used, budget)  # a group over the budget is as full as one at it
+                used, group = int(ends[at]), group + int(groups[at])
+            yield pd.DataFrame(out, columns=[*columns, "_b", "_used", "_group"])
 
     return run
 
 
-def packed(df: DataFrame, keys: list[str], order: list[str], cost: Column, budget: int, out: str) -> DataFrame:
+def packed(df: DataFrame, keys: list[str], order: list[str], cost: Column, budget: int, out: str, bucket: int = BUCKET) -> DataFrame:
     """df with out, the number (from 0) of the group that each row goes to: rows of a key go to a group in their order
-    until the next one would exceed the budget; one that exceeds it alone stands alone.
+    until the next one would exceed the budget; one that exceeds it alone stands alone. Costs are at least 1.
 
-    A pass over sorted rows, which holds one number at a time; costs are at least 1.
+    keys and order name a row; only they and its cost go through the passes, and the number is joined back. Rows with
+    a null among them are left out. The first column of order is a number, along which a key is cut into buckets. A
+    key of several buckets is no single task: each bucket says with what it ends for every used cost that it may begin
+    with, a pass over buckets chains these, and then each bucket is numbered by itself.
     """
-    rows = df.withColumn("_cost", F.greatest(F.lit(1), cost).cast("long")).repartition(*keys).sortWithinPartitions(*keys, *order)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + f", {out} long"
-    return rows.mapInPandas(_packing(keys, "_cost", budget, out), schema).drop("_cost")
+    names = [*keys, *order]
+    rows = df.select(*names, F.greatest(F.lit(1), cost).cast("long").alias("_cost")).where(" and ".join(f"`{c}` is not null" for c in names))
+    rows = written(rows.withColumn("_b", F.floor(F.col(order[0]) / bucket)))
+    types = dict(rows.dtypes)
+    schema = lambda columns: ", ".join(f"`{c}` {types[c]}" for c in columns)
+    at = [*keys, "_b"]
+    split = rows.groupBy(*keys).agg(F.min("_b").alias("lo"), F.max("_b").alias("hi")).where("lo < hi").select(*keys)
+    if split.isEmpty():
+        rows = rows.withColumn("_used", F.lit(0)).withColumn("_group", F.lit(0))
+    else:
+        long = rows.join(split, keys, "left_semi").repartition(*at).sortWithinPartitions(*at, *order)
+        ends = long.mapInPandas(_carries(at, "_cost", budget), schema(at) + ", used array<long>, groups array<long>")
+        begins = ends.repartition(*keys).sortWithinPartitions(*at).mapInPandas(_starts(keys, budget), schema(at) + ", _used long, _group long")
+        rows = rows.join(begins, at, "left").fillna(0, ["_used", "_group"])
+    rows = rows.repartition(*at).sortWithinPartitions(*at, *order)
+    numbered = rows.select(*at, *order, "_cost", "_used", "_group").mapInPandas(_groups(at, "_cost", budget, out), schema([*at, *order]) + f", `{out}` long")
+    return df.join(numbered.drop("_b"), names).select(*[f"`{c}`" for c in df.columns], out)
 
 
 def _made(body: DataFrame, keys: list[str], is_parent: bool) -> DataFrame:

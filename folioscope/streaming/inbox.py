@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
+from ..session import work_dir
 
 
 def arrivals(stream: DataFrame, key: str, at: str, late: str = "1 hour") -> DataFrame:
@@ -24,9 +24,9 @@ def hourly(stream: DataFrame, at: str = "ts", late: str = "1 hour") -> DataFrame
 def drained(spark: SparkSession, folder: str, pattern: str, key: str, at: str) -> DataFrame:
     """All arrivals in a folder of Parquet files, run through the stream once and read from its sink.
 
-    The sink and the checkpoint lie in the shared folder, so a run that is stopped goes on where it was.
+    The sink and the checkpoint lie in the shared folder, so that no executor's loss takes them.
     """
-    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = f"{work_dir(spark)}/stream-{uuid.uuid4().hex}"
     schema = spark.read.option("pathGlobFilter", pattern).parquet(folder).schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
     local = dict(stream.dtypes)[at] == "timestamp_ntz"  # event times must be instants

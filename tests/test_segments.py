@@ -53,6 +53,22 @@ def test_packing_matches_a_loop(spark):
             assert got[k, i] == g
 
 
+def test_packing_of_a_long_key_in_buckets(spark):
+    r = random.Random(5)
+    rows = [("long", i, i % 2, r.choice([1, 30, 100, 300, 500]), "x" * 9) for i in range(400)] + [("short", 0, 0, 400, ""), (None, 1, 0, 5, ""), ("late", 395, 0, 9, "")]
+    df = spark.createDataFrame(rows, "k string, i int, j int, c int, text string")
+    got = S.packed(df, ["k"], ["i", "j"], F.col("c"), 350, "g", bucket=30)
+    assert got.columns == ["k", "i", "j", "c", "text", "g"]
+    got = {(x.k, x.i): x.g for x in got.collect()}
+    g = used = 0
+    for k, i, _, c, _ in rows[:400]:
+        if used and used + c > 350:
+            g, used = g + 1, 0
+        used += c
+        assert got[k, i] == g
+    assert got["short", 0] == got["late", 395] == 0 and len(got) == 402
+
+
 def blocks(spark, rows):
     full = [(s, o, t, p, x, lv, "", cap, tb) for s, o, t, p, x, lv, cap, tb in rows]
     return spark.createDataFrame(full, BLOCK)
