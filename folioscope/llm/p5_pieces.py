@@ -6,10 +6,10 @@ before and after are compared, the valleys of that similarity mark topic boundar
 each window of allowed lengths the deepest valley is the cut. Where a window holds no sentence end,
 the last line end, else the last white space, else the limit itself is taken.
 
-A null text is no oversized chunk; a null breadcrumb counts as empty. A breadcrumb stays on the pieces as
-long as it leaves room for one character of text, which makes small and many pieces of a text under a long
-one; they leave Python in slices of SLICE characters. Only a breadcrumb that fills the limit by itself is
-left off, as no piece under the limit could carry it.
+A null text is no oversized chunk; a null breadcrumb counts as empty. A breadcrumb stays whole on the pieces as
+long as it leaves them room for LEAST times the overlap; a longer one is shortened from its front to leave that
+room (at a " > " where its rest has one, else after the mark of omission), and never left off. Pieces leave Python
+in slices of SLICE characters.
 """
 
 from __future__ import annotations
@@ -24,7 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHILD_LIMIT, PARENT_LIMIT, OVERLAP, BLOCK = 350, 2000, 40, 3
+CHILD_LIMIT, PARENT_LIMIT, OVERLAP, BLOCK, LEAST = 350, 2000, 40, 3, 3
+OMITTED = "… "
 SLICE = 4_000_000
 _ENDS = re.compile(r"(?:\n\s*)+|(?<=[.!?…;:])[\"'”»)\]]*\s+")
 _WORD = re.compile(r"[^\W_]+")
@@ -106,6 +107,19 @@ def split_text(text: str, room: int, overlap: int, block: int = BLOCK) -> list[t
     return pieces
 
 
+def heading(crumb: str | None, limit: int, overlap: int) -> str:
+    """What stands above each piece: the breadcrumb and an empty line, shortened from its front where the characters
+    that it leaves of `limit` are fewer than LEAST overlaps (or half the limit, if that is less)."""
+    if not crumb:
+        return ""
+    most = max(0, limit - min(LEAST * overlap, limit // 2) - 2)
+    if len(crumb) > most:
+        rest = crumb[len(crumb) - max(0, most - len(OMITTED)) :]
+        at = rest.find(" > ")
+        crumb = (OMITTED + (rest[at + 3 :] if at >= 0 else rest))[:most]
+    return f"{crumb}\n\n"
+
+
 def _pieces(limits: tuple[int, int], overlap: int, block: int):
     columns = ["chunk_id", "piece_no", "start", "own_start", "end", "text", "tokens", "pieces"]
 
@@ -113,9 +127,7 @@ def _pieces(limits: tuple[int, int], overlap: int, block: int):
         for batch in batches:
             for key, crumb, text, parent in zip(batch["chunk_id"], batch["breadcrumb"], batch["text"], batch["is_parent"]):
                 limit = limits[bool(parent)]
-                head = f"{crumb}\n\n" if crumb else ""
-                if len(head) >= 4 * limit:
-                    head = ""
+                head = heading(crumb, 4 * limit, 4 * overlap)
                 cut = split_text(text, 4 * limit - len(head), 4 * overlap, block) or [(0, 0, 0)]
                 step = max(1, SLICE // (4 * limit))
                 for at in range(0, len(cut), step):

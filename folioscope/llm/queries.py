@@ -64,6 +64,22 @@ def p5_split(spark: SparkSession, folder: str) -> DataFrame:
     return p5_pieces.split_oversized(table(spark, folder, "chunk"))
 
 
+def p5_rejoined(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each oversized chunk: the digest of what its pieces give again, and whether each is under the limit and under its
+    breadcrumb and has up to 40 tokens of the one before."""
+    chunk = table(spark, folder, "chunk")
+    big = p5_pieces.oversized(chunk).select("chunk_id", "breadcrumb", F.when(F.col("is_parent"), p5_pieces.PARENT_LIMIT).otherwise(p5_pieces.CHILD_LIMIT).alias("limit"))
+    p = p5_pieces.split_oversized(chunk).join(big, "chunk_id")
+    own = F.expr("substring(text, length(text) - (`end` - own_start) + 1)")
+    fits = (F.col("tokens") <= F.col("limit")) & (F.length("text") <= 4 * F.col("limit") + 3)
+    headed = (F.col("breadcrumb") == "") | F.startswith("text", F.concat("breadcrumb", F.lit("\n\n")))
+    shared = F.when(F.col("piece_no") > 0, (F.col("own_start") - F.col("start")).between(1, 4 * p5_pieces.OVERLAP)).otherwise(F.col("start") == 0)
+    return p.groupBy("chunk_id").agg(
+        F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece_no", own.alias("own")))), lambda x: x["own"]), "")).alias("text_md5"),
+        F.bool_and(fits).alias("under_limit"), F.bool_and(headed).alias("under_breadcrumb"), F.bool_and(shared).alias("shares"),
+    )
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return p6_lines.repeated_line_places(table(spark, folder, "block"))
 
@@ -172,6 +188,10 @@ def oracle_sql() -> dict[str, str]:
             s AS (SELECT source, sum(n) AS n FROM d GROUP BY 1)
             SELECT t.source FROM mix_target t LEFT JOIN s USING (source) WHERE coalesce(n, 0) * max_repeat < weight * (SELECT sum(n) FROM s)""",
         "p6_found": f"WITH {_LINES} SELECT slug, ord, CAST(line_no AS INTEGER) AS line_no FROM k JOIN f USING (slug, line)",
+        "p5_rejoined": """
+            SELECT chunk_id, md5(text) AS text_md5, true AS under_limit, true AS under_breadcrumb, true AS shares FROM (SELECT DISTINCT ON (chunk_id) * FROM chunk)
+            WHERE (length(text) + CASE WHEN coalesce(breadcrumb, '') <> '' THEN length(breadcrumb) + 2 ELSE 0 END) // 4
+                  > CASE WHEN is_parent THEN 2000 ELSE 350 END""",
         "p5_found": """
             SELECT DISTINCT chunk_id FROM chunk
             WHERE (length(text) + CASE WHEN coalesce(breadcrumb, '') <> '' THEN length(breadcrumb) + 2 ELSE 0 END) // 4

@@ -56,15 +56,20 @@ def test_long_breadcrumbs(spark, tmp_path):
     assert set(got) == {"child", "parent", "no room", "least room", "empty"}
     for key, crumb, text, parent in rows[:-1]:
         pieces = sorted(got[key], key=lambda x: x.piece_no)
-        head = f"{crumb}\n\n" if key in ("child", "parent", "least room") else ""
+        head = f"{crumb}\n\n" if key in ("child", "parent") else "… " + "c" * 916 + "\n\n"  # shortened from its front to leave 480 characters
         assert "".join(text[x.own_start : x.end] for x in pieces) == text and [x.piece_no for x in pieces] == list(range(pieces[0].pieces))
         assert all(x.text == head + text[x.start : x.end] and x.tokens <= (2000 if parent else 350) for x in pieces)
-    assert len(got["least room"]) == 11
     df.write.parquet(str(tmp_path / "chunk.parquet"))
     assert {x.chunk_id for x in Q.p5_found(spark, str(tmp_path)).collect()} == set(got)
     assert {x.chunk_id for x in Q.p5_split(spark, str(tmp_path)).collect()} == set(got)
 
 
+def test_headings():
+    assert P.heading(None, 1400, 160) == P.heading("", 1400, 160) == "" and P.heading("c" * 918, 1400, 160) == "c" * 918 + "\n\n"
+    assert P.heading("Book > " + "c" * 1000 + " > Part > End", 1400, 160) == "… Part > End\n\n"
+    assert all(len(P.heading("abc > " * 50, n, 16)) < n for n in range(8, 300))
+
+
 def test_many_pieces_leave_in_slices(monkeypatch):
     monkeypatch.setattr(P, "SLICE", 400)
     batch = pd.DataFrame([("k", "c" * 90, "word " * 40, False)], columns=["chunk_id", "breadcrumb", "text", "is_parent"])
