@@ -85,9 +85,10 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_blocks(spark: SparkSession, folder: str) -> DataFrame:
-    """How often blocks of so many lines repeat within each book."""
-    b = p6_lines.repeated_blocks(p6_lines.plain_blocks(table(spark, folder, "block")))
-    return b.select(F.col("source").alias("slug"), F.concat_ws(" ", F.transform("lines", F.hex)).alias("lines"), F.size("lines").alias("n_lines"), "documents")
+    """The maximal blocks of lines that repeat within each book, as their compared text."""
+    b = p6_lines.plain_blocks(table(spark, folder, "block"))
+    found = p6_lines.block_texts(p6_lines.repeated_blocks(b), b)
+    return found.select(F.col("source").alias("slug"), "lines", "n_lines", "documents")
 
 
 def p6_clean_blocks(spark: SparkSession, folder: str) -> DataFrame:
@@ -171,6 +172,11 @@ def oracle_sql() -> dict[str, str]:
             g AS (SELECT a, min(b) AS m FROM t GROUP BY 1), d AS (SELECT a, count(*) AS links FROM e GROUP BY 1)
             SELECT c.chunk_id, least(c.chunk_id, coalesce(g.m, c.chunk_id)) AS group_id, coalesce(links, 0) AS links FROM c LEFT JOIN g ON g.a = c.chunk_id LEFT JOIN d ON d.a = c.chunk_id""",
         "p4_neighbours_of": f"WITH {_RANKED} SELECT a AS id, CAST(rank AS INTEGER) AS rank, b AS other, round(sim, 6) AS similarity FROM r",
+        "p6_blocks": f"""WITH {_LINES}, a AS (SELECT slug, ord, list(line ORDER BY line_no) AS a FROM k WHERE line <> '' GROUP BY 1, 2),
+            i AS (SELECT slug, ord, a, unnest(range(1, len(a) + 1)) AS i FROM a), s AS (SELECT slug, ord, a[i:j] AS s FROM (SELECT *, unnest(range(i, len(a) + 1)) AS j FROM i)),
+            r AS (SELECT slug, s, count(DISTINCT ord) AS n FROM s GROUP BY 1, 2 HAVING count(DISTINCT ord) >= 6),
+            x AS (SELECT slug, s[2:] AS s, n FROM r UNION SELECT slug, s[:-2], n FROM r)
+            SELECT slug, array_to_string(s, chr(10)) AS lines, CAST(len(s) AS BIGINT) AS n_lines, n AS documents FROM r WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.slug = r.slug AND x.s = r.s AND x.n = r.n)""",
         "p6_clean_blocks": f"WITH {_LINES} SELECT k.slug, k.ord, {_KEPT} FROM k LEFT JOIN f ON f.slug = k.slug AND f.line = k.line GROUP BY 1, 2",
         "p6_clean_every_block": f"""WITH {_LINES}, al AS (SELECT slug, ord, text, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS line_no
               FROM (SELECT DISTINCT ON (slug, ord) slug, ord, text FROM block)),

@@ -5,22 +5,52 @@ from pyspark.sql import functions as F
 from folioscope.llm import p6_lines as P
 
 
+def maximal(docs, least):
+    """Of each source the blocks in at least `least` documents that are in fewer with a line more on either side."""
+    out = {}
+    for source in {s for s, _ in docs}:
+        texts = [t for s, t in docs if s == source]
+        held = {}
+        for n, t in enumerate(texts):
+            for i in range(len(t)):
+                for j in range(i + 1, len(t) + 1):
+                    held.setdefault(t[i:j], set()).add(n)
+        held = {b: len(n) for b, n in held.items() if len(n) >= least}
+        longer = {}
+        for b, n in held.items():
+            for part in (b[1:], b[:-1]):
+                longer[part] = max(longer.get(part, 0), n)
+        out |= {(source, b): n for b, n in held.items() if longer.get(b, 0) < n}
+    return out
+
+
+def check_blocks(spark, docs, **settings):
+    df = spark.createDataFrame([(s, "\n".join(t)) for s, t in docs], "source string, text string")
+    letters = sorted({c for _, t in docs for c in t})
+    names = {x.k: x.t for x in spark.createDataFrame([(c,) for c in letters], "t string").select("t", P.line_key(F.col("t")).alias("k")).collect()}
+    rows = P.repeated_blocks(df, **settings).collect()
+    got = {(x.source, "".join(names[i] for i in x.lines)): x.documents for x in rows}
+    wanted = maximal(docs, settings["least"])
+    assert len(rows) == len(got) and {(s, b.lower()): n for (s, b), n in got.items()} == {(s, b.lower()): n for (s, b), n in wanted.items()}
+    return got
+
+
 def test_blocks_against_brute_force(spark):
     r = random.Random(6)
-    docs = [(s, n, "\n".join(r.choice("ABCDEF") + r.choice(["", " "]) for _ in range(r.randint(0, 9)))) for s in ("s", "t") for n in range(40)]
-    df = spark.createDataFrame(docs, "source string, ord int, text string")
-    names = {x.k: x.t for x in spark.createDataFrame([(c,) for c in "ABCDEF"], "t string").select("t", P.line_key(F.col("t")).alias("k")).collect()}
-    got = {(x.source, "".join(names[i] for i in x.lines)): x.documents for x in P.repeated_blocks(df, 6, 4, 3).collect()}
-    texts = {}
-    for s, _, t in docs:
-        texts.setdefault(s, []).append("".join(c.strip() for c in t.split("\n")))
-    count = lambda s, b: sum(b in t for t in texts[s])
-    strings = {(s, t[i : i + d]) for s, ts in texts.items() for t in ts for i in range(len(t)) for d in range(1, 5) if i + d <= len(t)}
-    wanted = {(s, b): count(s, b) for s, b in strings if count(s, b) >= 6}
-    assert all(wanted[k] == n for k, n in got.items())
-    for (s, b), n in wanted.items():  # right-maximal: no block that is longer by one line is in as many documents
-        if len(b) == 1 or len(b) == 4 or all(wanted.get((s, b + c), 0) < n for c in "ABCDEF"):
-            assert (s, b) in got
+    docs = [(s, "".join(r.choice("abcdef") for _ in range(r.randint(0, 9)))) for s in ("s", "t") for _ in range(40)]
+    check_blocks(spark, docs, least=6, depth=16, shards=3)
+
+
+def test_blocks_longer_than_a_batch(spark):
+    r = random.Random(8)
+    notice, other = "".join(r.choice("abcdefgh") for _ in range(40)), "".join(r.choice("abcd") for _ in range(11))
+    docs = []
+    for n in range(30):
+        own = [r.choice("mnopq") for _ in range(r.randint(0, 6))]
+        own.insert(r.randint(0, len(own)), [notice, notice[:25], notice[9:] + notice[:13], "xy" + notice, other + other, other[3:] + "z" + other][n % 6])
+        docs.append(("s" if n % 7 else "t", "".join(own)))
+    got = check_blocks(spark, docs, least=3, depth=4, shards=2)
+    assert ("s", notice) in got and max(len(b) for _, b in got) == 44
 
 
 def test_places_and_removal(spark):
