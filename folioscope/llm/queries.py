@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -164,6 +165,47 @@ _LINES = f"""b AS (SELECT DISTINCT ON (slug, ord) slug, ord, text FROM block WHE
 _KEPT = "coalesce(string_agg(raw, chr(10) ORDER BY line_no) FILTER (f.line IS NULL), '') AS clean, count(f.line) AS removed"
 
 
+def _compatible() -> tuple[str, str, list[tuple[str, str]]]:
+    """By the rule of the form, of the characters up to U+FFFF whose compatibility form isn't kept apart: those that become one
+    character, what these become, and ligatures, dots and the like that become several."""
+    one, to, several = "", "", []
+    for c in map(chr, range(0xA0, 0x10000)):
+        kind, form = unicodedata.decomposition(c).split(" ")[0], unicodedata.normalize("NFKC", c)
+        if kind.startswith("<") and kind not in ("<super>", "<sub>") and form != " ":
+            if len(form) == 1:
+                one, to = one + c, to + form
+            elif 0x100 <= ord(c) < 0x250 or 0x2010 <= ord(c) < 0x2070 or 0xFB00 <= ord(c) < 0xFB10:
+                several.append((c, form))
+    return one, to, several
+
+
+def _form_sql() -> str:
+    """t0(id, x): every document's text; d(id, form): its consistent form; step by step, as the operator takes them."""
+    quoted = lambda text: "'" + text.replace("'", "''") + "'"
+    one, to, several = _compatible()
+    spaces, hyphens = "".join(map(chr, p9_forms.SPACES)), "".join(map(chr, p9_forms.HYPHENS))
+    drop = "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in p9_forms.IGNORABLE)
+    chars = f"translate(x, {quoted(spaces + hyphens + chr(0x2028) + chr(0x85))}, {quoted(' ' * len(spaces) + '-' * len(hyphens) + chr(10) * 2)})"
+    forms = f"translate(x, {quoted(one)}, {quoted(to)})"
+    for a, b in several:
+        forms = f"replace({forms}, {quoted(a)}, {quoted(b)})"
+    look = p9_forms.LOOKALIKES
+    latin = f"translate(w, {quoted(''.join(look))}, {quoted(''.join(look.values()))})"
+    return rf"""t0 AS (SELECT doc_id AS id, any_value(text) AS x FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL GROUP BY 1),
+        t1 AS (SELECT id, regexp_replace(x, '[{drop}]', '', 'g') AS x FROM t0), t2 AS (SELECT id, {chars} AS x FROM t1), t3 AS (SELECT id, {forms} AS x FROM t2), t4 AS (SELECT id, {chars} AS x FROM t3),
+        t5 AS (SELECT id, nfc_normalize(array_to_string(list_transform(regexp_extract_all(x, '\p{{L}}[\p{{L}}\p{{M}}]*|[^\p{{L}}]+'),
+          lambda w: CASE WHEN regexp_matches(w, '[A-Za-z\x{{AA}}\x{{BA}}\x{{C0}}-\x{{D6}}\x{{D8}}-\x{{F6}}\x{{F8}}-\x{{24F}}]') THEN {latin} ELSE w END), '')) AS x FROM t4),
+        d AS (SELECT id, replace(replace(x, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS form FROM t5)"""
+
+
+def _leak_sql() -> str:
+    words = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
+    return rf"""{_form_sql()}, dw AS (SELECT id, {words.format("form")} AS w FROM d), iw AS (SELECT item_id, {words.format("text")} AS w FROM eval_item WHERE text IS NOT NULL),
+        dr AS (SELECT DISTINCT id, array_to_string(w[i:i + 11], ' ') AS r FROM (SELECT id, w, unnest(range(1, len(w) - 10)) AS i FROM dw)),
+        ir AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 11], ' ') AS r FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM iw)),
+        lk AS (SELECT DISTINCT id AS doc_id, item_id FROM dr JOIN ir USING (r))"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_groups": f"""
@@ -188,6 +230,11 @@ def oracle_sql() -> dict[str, str]:
             SELECT chunk_id, {_KEPT} FROM ck LEFT JOIN f ON f.slug = ck.slug AND f.line = ck.line GROUP BY 1""",
         "p1_found": f"WITH {_PAIRS} SELECT a AS chunk_id_a, b AS chunk_id_b FROM f",
         "p4_found": f"WITH {_RANKED} SELECT DISTINCT least(a, b) AS chunk_id_a, greatest(a, b) AS chunk_id_b FROM r",
+        # item texts are taken as they are: they hold no character that the form changes within a word
+        "p7_found": f"WITH {_leak_sql()} SELECT doc_id, item_id FROM lk",
+        "p7_report": f"WITH {_leak_sql()} SELECT i.item_id, count(doc_id) AS documents FROM (SELECT DISTINCT item_id FROM eval_item) i LEFT JOIN lk USING (item_id) GROUP BY 1",
+        "p9_form": f"WITH {_form_sql()} SELECT id AS doc_id, form FROM d",
+        "p9_found": f"WITH {_form_sql()}, b AS (SELECT d.id, form, x AS text FROM d JOIN t0 USING (id)) SELECT a.id AS doc_id_a, b.id AS doc_id_b FROM b a JOIN b ON a.form = b.form AND a.id < b.id AND a.text <> b.text",
         "p8_found": """
             -- characters stand for tokens here: by the statement of the problem, the margins hold for any usual tokenizer
             WITH d AS (SELECT DISTINCT ON (doc_id) doc_id, source, length(text) AS n FROM documents WHERE source IN (SELECT source FROM mix_target)),

@@ -28,7 +28,7 @@ def test_leaks_against_brute_force(spark):
     D = spark.createDataFrame([(d, t, "x") for d, t in docs], schema)
     T = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, doc_id string")
     assert {(x.doc_id, x.item_id) for x in P.leaks(D, T).collect()} == expected and len(expected) > 10
-    assert {(x.doc_id, x.item_id) for x in P.leaks(D, T, shard_chars=700).collect()} == expected  # several shards
+    assert {(x.doc_id, x.item_id) for x in P.leaks(D, T, shard_words=120, pass_words=400).collect()} == expected  # several shards and passes
     report = {x.item_id: x.documents for x in P.leak_report(D, T).collect()}
     assert len(report) == 42 and sum(report.values()) == len(expected)
     assert P.leaks(D, T.where("false")).count() == 0 and P.leaks(D.where("false"), T).count() == 0
