@@ -134,6 +134,26 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return p8_mixture.reached(p8_mixture.mixture(sized, plan), plan)
 
 
+def _by_characters(spark: SparkSession, folder: str, evenness: float | None = None) -> DataFrame:
+    """The mixture's plan with sizes in characters, which SQL can count too, and whether what comes out keeps to it: by less
+    than one document under the budget, and no document more often than its limit."""
+    sized, plan = p8_mixture.prepared(table(spark, folder, "documents"), table(spark, folder, "mix_target"), size=F.length("text"), evenness=evenness)
+    got = p8_mixture.reached(p8_mixture.mixture(sized, plan), plan).select("source", "tokens_used", "most_repeats")
+    p = plan.join(got, "source").join(sized.groupBy("source").agg(F.max("tokens").alias("largest")), "source", "left")
+    total = F.lit(max(1, plan.agg(F.sum("tokens").alias("n")).first()["n"] or 0))
+    kept = F.col("tokens_used").between(F.col("budget") - F.coalesce("largest", F.lit(0)), F.col("budget")) & (F.col("most_repeats") <= F.col("max_repeat"))
+    return p.select("source", "weight", "reachable", F.round("exponent", 5).alias("exponent"), F.round(F.col("budget") / total, 5).alias("share"), kept.alias("kept"))
+
+
+def p8_character_plan(spark: SparkSession, folder: str) -> DataFrame:
+    return _by_characters(spark, folder)
+
+
+def p8_even_plan(spark: SparkSession, folder: str) -> DataFrame:
+    """A mixture whose entropy is halfway between that of the sources' sizes and the largest."""
+    return _by_characters(spark, folder, 0.5)
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return p9_forms.same_looking_pairs(table(spark, folder, "documents"))
 
@@ -162,6 +182,8 @@ _LINES = f"""b AS (SELECT DISTINCT ON (slug, ord) slug, ord, text FROM block WHE
             l AS (SELECT slug, ord, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM b WHERE text IS NOT NULL),
             k AS (SELECT slug, ord, line_no, line AS raw, {_KEY} AS line FROM l),
             f AS (SELECT slug, line FROM k WHERE line <> '' GROUP BY slug, line HAVING count(DISTINCT ord) >= 6)"""
+_SIZES = """d AS (SELECT DISTINCT ON (doc_id) doc_id, source, text FROM documents WHERE source IN (SELECT source FROM mix_target)),
+            p AS (SELECT t.source, t.weight, t.max_repeat, coalesce(n, 0) / (SELECT sum(length(text)) FROM d) AS s FROM mix_target t LEFT JOIN (SELECT source, sum(length(text)) AS n FROM d GROUP BY 1) USING (source))"""
 _KEPT = "coalesce(string_agg(raw, chr(10) ORDER BY line_no) FILTER (f.line IS NULL), '') AS clean, count(f.line) AS removed"
 
 
@@ -240,6 +262,17 @@ def oracle_sql() -> dict[str, str]:
             WITH d AS (SELECT DISTINCT ON (doc_id) doc_id, source, length(text) AS n FROM documents WHERE source IN (SELECT source FROM mix_target)),
             s AS (SELECT source, sum(n) AS n FROM d GROUP BY 1)
             SELECT t.source FROM mix_target t LEFT JOIN s USING (source) WHERE coalesce(n, 0) * max_repeat < weight * (SELECT sum(n) FROM s)""",
+        "p8_character_plan": f"""WITH {_SIZES},
+            f AS (SELECT 1 - sum(max_repeat * s) AS rest FROM p WHERE max_repeat * s < weight), g AS (SELECT sum(weight) AS w FROM p WHERE max_repeat * s >= weight)
+            SELECT source, weight, max_repeat * s >= weight AS reachable, CASE WHEN max_repeat * s >= weight THEN 0.0 WHEN s = 0 THEN 1.0 ELSE round(1 - ln(max_repeat) / ln(weight / s), 5) END::DOUBLE AS exponent,
+              round(CASE WHEN max_repeat * s < weight THEN max_repeat * s ELSE weight * coalesce(rest, 1) / w END, 5) AS share, true AS kept FROM p, f, g""",
+        "p8_even_plan": f"""WITH RECURSIVE {_SIZES}, l AS (SELECT list(s ORDER BY source) AS s, list(max_repeat ORDER BY source) AS r, count(*) AS n FROM p WHERE s > 0),
+            h AS (SELECT s, r, 0.5 * ln(n) - 0.5 * list_sum(list_transform(s, lambda x: x * ln(x))) AS goal FROM l),
+            b(k, lo, hi) AS (SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE UNION ALL SELECT k + 1, CASE WHEN ok THEN lo ELSE m END, CASE WHEN ok THEN m ELSE hi END FROM (
+              SELECT k, lo, hi, m, ln(z) - list_sum(list_transform(q, lambda x: x * ln(x))) / z <= goal + 1e-12 AND list_bool_and(list_transform(range(1, len(q) + 1), lambda i: q[i] / z <= r[i] * s[i] + 1e-12)) AS ok FROM (
+                SELECT *, list_sum(q) AS z FROM (SELECT k, lo, hi, (lo + hi) / 2 AS m, list_transform(s, lambda x: pow(x, (lo + hi) / 2)) AS q, s, r, goal FROM b, h WHERE k < 60)))),
+            e AS (SELECT hi AS e FROM b WHERE k = 60), z AS (SELECT sum(pow(s, e)) AS z FROM p, e WHERE s > 0)
+            SELECT source, weight, max_repeat * s >= weight AS reachable, round(e, 5) AS exponent, CASE WHEN s > 0 THEN round(pow(s, e) / z, 5) ELSE 0.0 END::DOUBLE AS share, true AS kept FROM p, e, z""",
         "p6_found": f"WITH {_LINES} SELECT slug, ord, CAST(line_no AS INTEGER) AS line_no FROM k JOIN f USING (slug, line)",
         "p5_rejoined": """
             SELECT chunk_id, md5(text) AS text_md5, true AS under_limit, true AS under_breadcrumb, true AS shares FROM (SELECT DISTINCT ON (chunk_id) * FROM chunk)

@@ -6,21 +6,35 @@ from folioscope.llm import p8_mixture as P
 
 
 def test_temperature():
-    shares = [0.7, 0.2, 0.1]
-    assert P.tempered(shares, 1.0) == pytest.approx(shares) and P.tempered(shares, 0.0) == pytest.approx([1 / 3] * 3)
-    goal = (P.entropy(shares) + math.log(3)) / 2
-    assert P.bisect_exponent(shares, lambda q: False) is None and P.bisect_exponent(shares, lambda q: True) == 1.0
-    e = P.bisect_exponent(shares, lambda q: P.entropy(q) >= goal)
-    assert P.entropy(P.tempered(shares, e)) == pytest.approx(goal, abs=1e-6)
+    shares, even = [0.7, 0.2, 0.1], [1 / 3] * 3
+    assert P.tempered(shares, even, 1.0) == pytest.approx(shares) and P.tempered(shares, even, 0.0) == pytest.approx(even)
+    assert P.tempered(shares, [0.1, 0.1, 0.8], 0.0) == pytest.approx([0.1, 0.1, 0.8]) and P.tempered([1.0, 0.0], [0.5, 0.5], 0.5) == [1.0, 0.0]
+    assert P.bisect_exponent(lambda e: False) is None and P.bisect_exponent(lambda e: True) == 0.0
+    assert P.bisect_exponent(lambda e: e >= 0.3) == pytest.approx(0.3)
+    assert P.own_exponent(0.2, 0.4, 2) == 0.0 and P.own_exponent(0.1, 0.4, 2) == pytest.approx(0.5) and P.own_exponent(0.0, 0.1, 5) == 1.0 and P.own_exponent(0.0, 0.0, 5) == 0.0
 
 
 def test_shares_keep_limits():
     tokens, weights, repeats = [1000, 100, 0, 500], [0.3, 0.4, 0.1, 0.2], [2, 2, 5, 3]
-    s = P.target_shares(tokens, weights, repeats)
+    s, e = P.target_shares(tokens, weights, repeats)
     total = sum(tokens)
-    assert s[1] == pytest.approx(200 / total) and s[2] == 0 and sum(s) == pytest.approx(1)
+    assert s[1] == pytest.approx(200 / total) and s[2] == 0 and sum(s) == pytest.approx(1) and e[2] == 1 and 0 < e[1] < 1 and e[0] == e[3] == 0
     assert all(x * total <= t * r + 1e-6 for x, t, r in zip(s, tokens, repeats))
-    assert P.target_shares([], [], []) == [] and P.target_shares([0, 0], [0.5, 0.5], [1, 1]) == [0, 0]
+    assert P.target_shares([], [], []) == ([], []) and P.target_shares([0, 0], [0.5, 0.5], [1, 1])[0] == [0, 0]
+
+
+def test_an_exponent_between():
+    # what the second can't take would break the third's limit at the weights, so the others go part of the way to their sizes
+    tokens, weights, repeats = [800, 50, 150], [0.3, 0.3, 0.4], [2, 2, 3]
+    s, e = P.target_shares(tokens, weights, repeats)
+    assert sum(s) == pytest.approx(1) and s[1] == pytest.approx(0.1) and s[2] == pytest.approx(0.45) and 0 < e[0] == e[2] < 1
+    # an entropy halfway between that of the sizes and the largest
+    s, e = P.target_shares([700, 200, 100, 0], [0.25] * 4, [9] * 4, evenness=0.5)
+    assert P.entropy(s) == pytest.approx((P.entropy([0.7, 0.2, 0.1]) + math.log(3)) / 2, abs=1e-6) and 0 < e[0] < 1 and s[3] == 0
+    s, _ = P.target_shares([700, 200, 100], [0.25] * 3, [1, 1, 1], evenness=0.5)  # nothing may come twice
+    assert s == pytest.approx([0.7, 0.2, 0.1])
+    s, _ = P.target_shares([700, 200, 100], [0.25] * 3, [9, 9, 9], evenness=1.0)
+    assert s == pytest.approx([1 / 3] * 3)
 
 
 def rows(spark):
