@@ -3,9 +3,11 @@
 A segment's UTF-8 bytes are cut into windows of WINDOW bytes. Bytes have a learned embedding; filters
 of several widths run over it, the maximum of each over the window goes into a softmax layer. The
 network is trained in numpy on a bounded sample of labelled rows: SAMPLE items per declared language
-(chosen by the hash of their key), of each at most CROPS windows and twice as many short crops. As some
-labels are wrong, networks trained on one half of the items judge those of the other half first, and
-items whose label they don't confirm are left out. It takes EPOCHS passes over the sample, or STEPS steps if that is more. The windows' log probabilities are summed over a segment, and over a chunk.
+and kind (chosen by the hash of their key), of each at most CROPS windows, from anywhere in it, and twice
+as many short crops. As some labels are wrong, networks trained on one half of the items judge those of
+the other half first, and items whose label they don't confirm are left out. It takes EPOCHS passes over
+the sample, or STEPS steps if that is more. The windows' log probabilities are summed over a segment,
+and over a chunk.
 
 Segments without a letter get no language and confidence 0. Null and empty texts give no segment (an
 empty text is one empty segment). Rows with a null key are left out, a key that comes twice counts
@@ -15,6 +17,7 @@ once. Without any usable label there is nothing to learn from, and an error is r
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,8 +39,8 @@ NAMES = {
 }
 # Beginnings of paragraphs that are no prose.
 NOT_PROSE = ["$$", "|", "![", "<table", "```"]
-WINDOW, SHORT, STEP, DIM, WIDTHS, FILTERS = 160, 72, 144, 12, (2, 3, 4, 5), 32
-SAMPLE, CROPS, EPOCHS, STEPS, SEED, ITEM_CHARS = 400, 3, 6, 600, 11, 20_000
+WINDOW, SHORT, STEP, DIM, WIDTHS, FILTERS = 160, 72, 144, 12, (2, 3, 4, 5), 24
+SAMPLE, CROPS, EPOCHS, STEPS, SEED = 400, 3, 4, 600, 11
 
 
 def declared(lang: Column) -> Column:
@@ -68,39 +71,42 @@ class ByteNetwork:
         }
         self.p["e"][0] = 0
 
-    def forward(self, x: np.ndarray):
-        e = np.concatenate([self.p["e"][x], np.zeros((len(x), self.wide - 1, DIM), np.float32)], 1)
-        n, size = len(x), x.shape[1]
+    def outputs(self, x: np.ndarray) -> np.ndarray:
+        """window x place x filter."""
+        n, size = x.shape
+        e = np.zeros((n, size + self.wide - 1, DIM), np.float32)
+        e[:, :size] = self.p["e"][x]
         columns = np.lib.stride_tricks.sliding_window_view(e, self.wide, 1).transpose(0, 1, 3, 2).reshape(n * size, -1)
-        columns = np.ascontiguousarray(columns)
-        out = (columns @ self.p["w"]).reshape(n, size, -1)
-        at = out.argmax(1)
-        pooled = np.take_along_axis(out, at[:, None], 1)[:, 0] + self.p["b"]
-        hidden = np.maximum(pooled, 0)
+        return (columns @ self.p["w"]).reshape(n, size, -1)
+
+    def classified(self, pooled: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        hidden = np.maximum(pooled + self.p["b"], 0)
         z = hidden @ self.p["u"] + self.p["c"]
         z -= z.max(1, keepdims=True)
         z -= np.log(np.exp(z).sum(1, keepdims=True))
-        return z, hidden, at, columns.reshape(n, size, -1)
+        return z, hidden
 
-    def log_probabilities(self, x: np.ndarray, batch: int = 256) -> np.ndarray:
-        return np.concatenate([self.forward(x[s : s + batch])[0] for s in range(0, len(x), batch)]) if len(x) else np.zeros((0, len(self.p["c"])), np.float32)
+    def log_probabilities(self, x: np.ndarray, batch: int = 64) -> np.ndarray:
+        pooled = [self.outputs(x[s : s + batch]).max(1) for s in range(0, len(x), batch)]
+        return self.classified(np.concatenate(pooled))[0] if pooled else np.zeros((0, len(self.p["c"])), np.float32)
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-        z, hidden, at, columns = self.forward(x)
+        out = self.outputs(x)
+        at = out.argmax(1)
+        z, hidden = self.classified(np.take_along_axis(out, at[:, None], 1)[:, 0])
         d = np.exp(z)
         d[np.arange(len(y)), y] -= 1
         d /= len(y)
-        g = {"u": hidden.T @ d, "c": d.sum(0)}
         h = (d @ self.p["u"].T) * (hidden > 0)
-        g["b"] = h.sum(0)
-        rows = np.arange(len(x))[:, None]
-        best = columns[rows, at]  # sample x filter x (width x DIM)
-        g["w"] = np.einsum("sf,sfk->kf", h, best) * self.mask
-        back = (h[:, :, None] * self.p["w"].T[None]).reshape(len(x), -1, self.wide, DIM)
-        g["e"] = np.zeros_like(self.p["e"])
-        padded = np.concatenate([x, np.zeros((len(x), self.wide - 1), x.dtype)], 1)
+        g = {"u": hidden.T @ d, "c": d.sum(0), "b": h.sum(0), "e": np.zeros_like(self.p["e"]), "w": np.zeros_like(self.p["w"])}
+        padded = np.concatenate([x, np.zeros((len(x), self.wide - 1), x.dtype)], 1).astype(np.int64)
+        rows, n = np.arange(len(x))[:, None], h.shape[1]
         for k in range(self.wide):
-            np.add.at(g["e"], padded[rows, at + k], back[:, :, k])
+            part = slice(k * DIM, (k + 1) * DIM)
+            # what each byte, at this place of each filter, adds: both gradients follow from it
+            byte = np.bincount((padded[rows, at + k] * n + np.arange(n)).ravel(), h.ravel(), 256 * n).reshape(256, n).astype(np.float32) * self.mask[k * DIM]
+            g["w"][part] = self.p["e"].T @ byte
+            g["e"] += byte @ self.p["w"][part].T
         g["e"][0] = 0
         return g
 
@@ -138,15 +144,24 @@ def as_array(parts: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(p.ljust(WINDOW, b"\0") for p in parts), np.uint8).reshape(-1, WINDOW)
 
 
+def cropped(text: str, seed: int) -> list[bytes]:
+    """At most CROPS of a text's windows, from anywhere in it."""
+    own = windows(text)
+    return [own[i] for i in np.random.default_rng(seed).permutation(len(own))[:CROPS]]
+
+
 def train(texts: list[str], labels: list[int], classes: int = len(LANGUAGES), epochs: int = EPOCHS, seed: int = SEED) -> ByteNetwork:
     """A network trained on texts with labels, of which some may be wrong."""
+    return train_crops([cropped(t, seed + n) for n, t in enumerate(texts)], labels, classes, epochs, seed)
+
+
+def train_crops(texts: list[list[bytes]], labels: list[int], classes: int = len(LANGUAGES), epochs: int = EPOCHS, seed: int = SEED) -> ByteNetwork:
+    """A network trained on windows of texts."""
     r = np.random.default_rng(seed)
     parts, owner = [], []
-    for n, text in enumerate(texts):
-        own = windows(text)
-        own = [own[i] for i in r.permutation(len(own))[:CROPS]]
+    for n, own in enumerate(texts):
         short = [w[i : i + int(r.integers(20, 70))] for w in own for i in r.integers(0, max(1, len(w) - 40), 2)]
-        parts += own + short
+        parts += [*own, *short]
         owner += [n] * (len(own) + len(short))
     x, owner = as_array(parts), np.array(owner)
     y = np.array(labels)[owner]
@@ -210,6 +225,12 @@ def labels(lang_label: DataFrame) -> DataFrame:
     return named.groupBy("item_kind", "item_key").agg(F.collect_set("d").alias("declared"))
 
 
+def _crops(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        crops = [cropped(t, zlib.crc32(k.encode())) for k, t in zip(batch["item_key"], batch["text"])]
+        yield pd.DataFrame({"item_kind": batch["item_kind"], "item_key": batch["item_key"], "label": batch["label"], "crops": crops})
+
+
 def trained(spark: SparkSession, parts: DataFrame, label: DataFrame, sample: int = SAMPLE) -> ByteNetwork:
     """A network trained on at most `sample` labelled items of each language and kind of item."""
     one = label.where("size(declared) = 1").select("item_kind", "item_key", F.element_at("declared", 1).alias("label"))
@@ -219,11 +240,13 @@ def trained(spark: SparkSession, parts: DataFrame, label: DataFrame, sample: int
             some = one.where((F.col("label") == lang) & (F.col("item_kind") == kind)).orderBy(F.xxhash64("item_key"), "item_key").limit(sample)
             picked = some if picked is None else picked.unionByName(some)
     rows = parts.join(F.broadcast(picked), ["item_kind", "item_key"]).groupBy("item_kind", "item_key", "label")
-    texts = rows.agg(F.substring(F.concat_ws("\n", F.transform(F.sort_array(F.collect_list(F.struct("seg_no", "text"))), lambda x: x["text"])), 1, ITEM_CHARS).alias("text"))
-    held = texts.orderBy("item_kind", "item_key").collect()
+    texts = rows.agg(F.concat_ws("\n", F.transform(F.sort_array(F.collect_list(F.struct("seg_no", "text"))), lambda x: x["text"])).alias("text"))
+    # crops are taken in the tasks, so that the driver gets a bounded number of windows of a bounded number of items
+    crops = texts.mapInPandas(_crops, "item_kind string, item_key string, label string, crops array<binary>").where("size(crops) > 0")
+    held = crops.orderBy("item_kind", "item_key").collect()
     if not held:
         raise ValueError("no labelled text to learn languages from")
-    return train([r["text"] for r in held], [LANGUAGES.index(r["label"]) for r in held])
+    return train_crops([[bytes(c) for c in r["crops"]] for r in held], [LANGUAGES.index(r["label"]) for r in held])
 
 
 def scored(chunk: DataFrame, book_meta: DataFrame, lang_label: DataFrame, prose_only: bool = False) -> tuple[DataFrame, DataFrame]:
