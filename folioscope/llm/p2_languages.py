@@ -74,7 +74,7 @@ class ByteNetwork:
     def outputs(self, x: np.ndarray) -> np.ndarray:
         """window x place x filter."""
         n, size = x.shape
-        e = np.zeros((n, size + self.wide - 1, DIM), np.float32)
+        e = np.zeros((n, size + self.wide - 1, DIM), self.p["e"].dtype)
         e[:, :size] = self.p["e"][x]
         columns = np.lib.stride_tricks.sliding_window_view(e, self.wide, 1).transpose(0, 1, 3, 2).reshape(n * size, -1)
         return (columns @ self.p["w"]).reshape(n, size, -1)

@@ -71,7 +71,7 @@ def test_gradients():
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
     x, y = r.integers(1, 256, (4, P.WINDOW)).astype(np.uint8), np.array([0, 1, 2, 1])
     g = net.gradients(x, y)
-    loss = lambda: -net.forward(x)[0][np.arange(4), y].mean()
+    loss = lambda: -net.log_probabilities(x)[np.arange(4), y].mean()
     for name in ("w", "u", "b", "c", "e"):
         at = np.unravel_index(np.abs(g[name]).argmax(), g[name].shape)
         old, step = net.p[name][at], 1e-3
