@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.ordered import running
 
 # The courses and their names.
 COURSES = {
@@ -35,29 +36,27 @@ def section_tier(heading: Column) -> Column:
     return F.when(h.contains("básica") | h.contains("basica"), 2).when(h.contains("complementaria") | h.contains("extra"), 1)
 
 
-def parsed_ledgers(ledgers: DataFrame) -> DataFrame:
-    """course, tier, title, filename of acquired entries. ledgers: course, text (one ledger a row).
+def parsed_ledgers(lines: DataFrame) -> DataFrame:
+    """course, tier, title, filename of acquired entries. lines: course, ln, line.
 
     A section's tier and an entry's title hold until the next of their kind; a section of no tier ends the one before.
     """
-    lines = ledgers.select("course", F.posexplode(F.split("text", "\r\n|[\n\r]")).alias("ln", "line"))
-    name = F.regexp_extract("line", r"^## (.+?)\s*$", 1)
-    lines = lines.withColumn("section", F.when(name != "", F.struct(section_tier(name).alias("tier"))))
-    title = F.regexp_extract("line", r"^### (.+?)\s*$", 1)
-    w = Window.partitionBy("course").orderBy("ln").rowsBetween(Window.unboundedPreceding, 0)
-    lines = lines.withColumn("tier", F.last("section", True).over(w)["tier"]).withColumn("title", F.last(F.when(title != "", title), True).over(w))
-    path = F.regexp_extract("line", r"^- (?:ES|EN): ✅\s*[^`]*`([^`]+)`", 1)
-    entries = lines.withColumn("path", path).where("path <> '' and tier is not null and title is not null")
-    return entries.select("course", "tier", "title", F.regexp_replace("path", "^.*/", "").alias("filename"))
+    # How a ledger marks sections, titles and acquired files.
+    section, heading, entry = r"^## (.+?)\s*$", r"^### (.+?)\s*$", r"^- (?:ES|EN): ✅\s*[^`]*`([^`]+)`"
+    name, title = F.regexp_extract("line", section, 1), F.regexp_extract("line", heading, 1)
+    marks = {"section": ("last", F.when(name != "", F.struct(section_tier(name).alias("tier")))), "title": ("last", F.when(title != "", title))}
+    held = running(lines.where("course is not null"), ["course"], ["ln"], marks)
+    entries = held.select("course", F.col("section.tier").alias("tier"), "title", F.regexp_extract("line", entry, 1).alias("path"))
+    return entries.where("path <> '' and tier is not null and title is not null").select("course", "tier", "title", F.regexp_replace("path", "^.*/", "").alias("filename"))
 
 
 def ledger_lines(entries: DataFrame) -> DataFrame:
-    """course, text: ledgers that list the given entries, those without tier or title in a section of no tier."""
-    e = entries.where("course is not null and filename is not null").distinct()
+    """course, ln, line: ledgers that list the given entries, those without tier or title in a section of no tier."""
+    e = entries.where("course is not null and filename is not null").select("course", "tier", "title", "filename").distinct()
     head = F.when(F.col("tier") == 2, "## Bibliografía básica").when(F.col("tier") == 1, "## Bibliografía complementaria").otherwise("## Otros")
-    body = F.concat(head, F.lit("\n### "), F.coalesce("title", F.lit("?")), F.lit("\n- ES: ✅ en disco `raw/"), F.col("filename"), F.lit("`\n"))
-    key = F.struct("filename", F.coalesce("tier", F.lit(-1)).alias("t"), F.coalesce("title", F.lit("")).alias("n"), body.alias("b"))
-    return e.groupBy("course").agg(F.array_join(F.transform(F.array_sort(F.collect_list(key)), lambda x: x["b"]), "\n").alias("text"))
+    body = F.array(head, F.concat(F.lit("### "), F.coalesce("title", F.lit("?"))), F.concat(F.lit("- ES: ✅ en disco `raw/"), F.col("filename"), F.lit("`")))
+    lines = e.withColumn("place", 3 * F.monotonically_increasing_id()).select("course", "place", F.posexplode(body).alias("at", "line"))
+    return lines.select("course", (F.col("place") + F.col("at")).alias("ln"), "line")
 
 
 def books(entries: DataFrame, tier: int | None = None) -> DataFrame:
@@ -75,16 +74,23 @@ def existing_books(entries: DataFrame, files: DataFrame, tier: int | None = None
     return books(entries, tier).join(held, "filename", "left_semi")
 
 
-def staged(intake: DataFrame, kinds: tuple[str, ...] = (), suffix: str = ".pdf") -> DataFrame:
-    """slug, path, course, title, tier of material of a known kind. intake: path, kind, title, course."""
-    tier = F.lit(None).cast("int")
-    for kind, n in KIND_TIERS.items():
-        tier = F.when(F.col("kind") == kind, n).otherwise(tier)
-    i = intake.withColumn("tier", tier).where(F.col("tier").isNotNull() & F.endswith("path", F.lit(suffix)))
+def kind_tier(kind: Column) -> Column:
+    """The tier of a kind of material; an unknown kind is an error."""
+    tier = F.raise_error(F.concat(F.lit("unknown kind of material: "), F.coalesce(kind, F.lit("none"))))
+    for name, n in KIND_TIERS.items():
+        tier = F.when(kind == name, F.lit(n)).otherwise(tier)
+    return tier.cast("int")
+
+
+def staged(intake: DataFrame, kinds: tuple[str, ...] = (), suffix: str = ".pdf", files: DataFrame | None = None) -> DataFrame:
+    """slug, path, course, title, tier of material of a known kind, with files (path) of that which is there. intake: path, kind, title, course."""
+    i = intake.where(F.col("kind").isin(*KIND_TIERS) & F.endswith("path", F.lit(suffix)))
     if kinds:
         i = i.where(F.col("kind").isin(*kinds))
+    if files is not None:
+        i = i.join(files.select("path").distinct(), "path", "left_semi")
     slug = T.path_slug(F.col("path"))
-    return i.select(slug.alias("slug"), "path", "course", F.coalesce(F.nullif("title", F.lit("")), slug).alias("title"), "tier")
+    return i.select(slug.alias("slug"), "path", "course", F.coalesce(F.nullif("title", F.lit("")), slug).alias("title"), kind_tier(F.col("kind")).alias("tier"))
 
 
 def manifest(chunks: DataFrame) -> DataFrame:
@@ -142,6 +148,46 @@ def scan_classes(pages: DataFrame, book: DataFrame) -> DataFrame:
     return m.withColumn("extraction_tier", F.when(F.col("median") < SCAN_CHARS, "scan").otherwise("born_digital"))
 
 
+def described(book: DataFrame, pages: DataFrame, outline: DataFrame, hashes: DataFrame, least_pages: int = 20) -> DataFrame:
+    """slug, pages, sha256, extraction_tier, warnings of books (slug, pages). pages: slug, page, chars; outline: slug; hashes: slug, sha256."""
+    c = scan_classes(pages, book).join(book.select("slug", F.coalesce("pages", F.lit(0)).alias("pages")).distinct(), "slug")
+    c = c.join(outline.select("slug").distinct().withColumn("outlined", F.lit(True)), "slug", "left")
+    c = c.join(hashes.groupBy("slug").agg(F.min("sha256").alias("sha256")), "slug", "left")
+    warnings = F.array(
+        F.when(F.col("extraction_tier") == "scan", "no text layer"), F.when(F.col("outlined").isNull(), "no outline"),
+        F.when(F.col("pages") < least_pages, F.concat(F.lit("only "), F.col("pages"), F.lit(" pages"))),
+    )
+    return c.select("slug", "pages", "sha256", "extraction_tier", F.filter(warnings, lambda w: w.isNotNull()).alias("warnings"))
+
+
+def destination(path: Column) -> Column:
+    """Where a contributed file (course/kind/name) is filed: literature by itself, other material under its kind."""
+    parts = F.filter(F.split(path, "/"), lambda p: ~p.isin("", "."))
+    course, kind, name = F.get(parts, 0), F.get(parts, 1), F.get(parts, 2)
+    return F.when(kind.isin("basic", "extra"), F.concat_ws("/", F.lit("courses"), course, F.lit("literature"), name)).otherwise(
+        F.concat_ws("/", F.lit("courses"), course, F.lit("raw"), kind, name)
+    )
+
+
+def new_entries(outcomes: DataFrame, entries: DataFrame) -> DataFrame:
+    """course, tier, title, filename that the ledgers lack: of accepted literature, and of duplicates, since another course may
+    list a book that is there already. outcomes: those of drop_outcomes; entries: course, filename."""
+    parts = F.filter(F.split("path", "/"), lambda p: ~p.isin("", "."))
+    o = outcomes.where("status in ('accepted', 'duplicate')").select(F.get(parts, 0).alias("course"), F.get(parts, 1).alias("kind"), F.get(parts, 2).alias("filename"), "title")
+    o = o.where("kind in ('basic', 'extra')").select("course", F.when(F.col("kind") == "basic", 2).otherwise(1).alias("tier"), "title", "filename").distinct()
+    return o.join(entries.select("course", "filename").distinct(), ["course", "filename"], "left_anti").select("course", "tier", "title", "filename")
+
+
+def outcome_totals(outcomes: DataFrame) -> DataFrame:
+    """status, files, and of rejected ones by reason."""
+    return outcomes.groupBy("status", F.coalesce("reason", F.lit("")).alias("reason")).agg(F.count("*").alias("files"))
+
+
+def all_warnings(meta: DataFrame) -> DataFrame:
+    """slug, warnings (joined) of the books that have any."""
+    return meta.where(F.size("warnings") > 0).select("slug", F.array_join("warnings", "; ").alias("warnings"))
+
+
 def drop_reason(path: Column, known: list[str] = list(COURSES), kinds: tuple[str, ...] = ("basic", "extra", "slides", "exams")) -> Column:
     """Why a contributed path can't be filed, null if it can."""
     parts = F.filter(F.split(path, "/"), lambda p: ~p.isin("", "."))

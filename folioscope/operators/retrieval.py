@@ -10,12 +10,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.ordered import running
 from ..session import written
+from .encode import Encoder, HashedWords
+from .store import open_index
 
 K1, B, FUSION = 1.2, 0.75, 60
 #: Query vectors that one pass over the vectors holds (of 64 numbers, 13 MB in float32), and terms of queries that one over the docs holds.
@@ -195,7 +197,8 @@ def of_course(chunks: DataFrame, course: str) -> DataFrame:
 
 
 def hybrid(queries: DataFrame, children: DataFrame, k: int, size: int = 64, course: str = "") -> DataFrame:
-    """Both legs over children (chunk_id, text, vector, courses), each k deep, fused. queries: qid, text, vector."""
+    """Both legs over children (chunk_id, text, vector, courses), each k deep, fused. queries: qid, text, vector. With a course,
+    only its children are searched, and the words' statistics are theirs."""
     c = of_course(children, course).withColumnRenamed("chunk_id", "id")
     legs = [bm25(queries.select("qid", "text"), c.select("id", "text"), k), nearest(queries.select("qid", "vector"), c.select("id", "vector"), k, size, itself=False)]
     return fused(legs, k)
@@ -236,3 +239,46 @@ def fetched(ids: DataFrame, chunks: DataFrame) -> DataFrame:
 def located(ids: DataFrame, chunks: DataFrame) -> DataFrame:
     """chunk_id, book_slug: the book of each id. On a table written sorted by id, statistics prune the scan."""
     return chunks.join(ids.select("chunk_id").where("chunk_id <> ''").distinct(), "chunk_id", "left_semi").select("chunk_id", "book_slug")
+
+
+def fetch(chunks: DataFrame, chunk_id: str) -> DataFrame:
+    """The row of fetched for one id; an id of no chunk is an error."""
+    row = fetched(chunks.sparkSession.createDataFrame([(chunk_id,)], "chunk_id string"), chunks)
+    if row.isEmpty():
+        raise ValueError(f"no chunk has the id {chunk_id!r}; ids come from search results")
+    return row
+
+
+def hits(found: DataFrame, children: DataFrame, parents: DataFrame | None) -> DataFrame:
+    """qid, rank, score, chunk_id, book_slug, breadcrumb, text, page_start, page_end, courses, matched, matched_text, citation
+    of expanded matches. children, parents: tables of an index, with body."""
+    columns = ["chunk_id", "book_slug", "breadcrumb", F.col("body").alias("text"), "page_start", "page_end", "courses"]
+    shown = children.select(*columns)
+    if parents is not None:
+        shown = shown.unionByName(parents.select(*columns))
+    body = children.select(F.col("chunk_id").alias("matched"), F.col("body").alias("matched_text"))
+    h = found.join(shown, "chunk_id").join(body, "matched", "left").withColumn("matched_text", F.coalesce("matched_text", F.lit("")))
+    return h.withColumn("citation", T.citation(F.col("breadcrumb"), F.col("page_start"), F.col("page_end"))).select(
+        "qid", "rank", "score", *[c if isinstance(c, str) else "text" for c in columns], "matched", "matched_text", "citation"
+    )
+
+
+def answers(questions: DataFrame, children: DataFrame | None, parents: DataFrame | None, k: int = 8, course: str = "", expand: bool = True, size: int = 64) -> DataFrame:
+    """The hits of questions (qid, text, vector) in an index: each match replaced by its parent, unless expand is off or there are
+    no parents. Without children there are none."""
+    if children is None:
+        none = "rank int, score double, chunk_id string, book_slug string, breadcrumb string, text string, page_start int, page_end int, courses array<string>, matched string, matched_text string, citation string"
+        return questions.sparkSession.createDataFrame([], f"qid {dict(questions.dtypes)['qid']}, {none}")
+    matches = hybrid(questions, children, k, size, course)
+    if expand and parents is not None:
+        return hits(expanded(matches, children, parents), children, parents)
+    plain = matches.select("qid", F.col("id").alias("chunk_id"), "score", "rank", F.lit(None).cast("string").alias("matched"))
+    return hits(plain, children, None)
+
+
+def search(spark: SparkSession, path: str, question: str, course: str = "", k: int = 8, expand: bool = True, encoder: Encoder | None = None) -> DataFrame:
+    """The passages of the index at path that answer a question, best first."""
+    encoder = encoder or HashedWords()
+    vector = [float(x) for x in encoder.encode([question])[0]]
+    asked = spark.createDataFrame([("question", question, vector)], "qid string, text string, vector array<float>")
+    return answers(asked, *open_index(spark, path), k, course, expand, len(vector)).drop("qid").orderBy("rank")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,8 @@ from ..operators import encode as E
 from ..operators import retrieval as R
 from ..operators import segments as S
 from ..operators import store
-from ..session import written
+from ..session import work_dir, written
+from ..sources import readers
 from ..sources.tables import once, table
 from ..streaming import inbox
 from .core_sql import SQL
@@ -206,7 +208,7 @@ def existing_books(spark, d):
 
 @query
 def ledger_round_trip(spark, d):
-    return C.parsed_ledgers(C.ledger_lines(table(spark, d, "ledger_entry")))
+    return C.parsed_ledgers(written(C.ledger_lines(table(spark, d, "ledger_entry"))))
 
 
 @query
@@ -334,7 +336,221 @@ def located(spark, d):
 
 @query
 def encoded_children(spark, d):
-    return E.encoded(_children(spark, d, "text").select(F.col("chunk_id").alias("id"), "text"))
+    """The components that aren't zero of the children's hashed vectors."""
+    v = E.hashed_words(_children(spark, d, "text").select(F.col("chunk_id").alias("id"), "text"))
+    return v.select("id", F.posexplode("vector").alias("place", "value")).where("value <> 0").select("id", "place", F.round(F.col("value").cast("double"), 4).alias("value"))
+
+
+def _shared(spark, name):
+    return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def read_block_lines(spark, d):
+    """The blocks written as a converter writes them, a file a book, and read again."""
+    b = _blocks(spark, d)
+    caption = F.when(F.col("caption") != "", F.to_json(F.array("caption"))).otherwise(F.col("caption"))
+    row = F.struct("type", F.col("page").alias("page_idx"), "text", "text_level", "img_path", caption.alias("image_caption"), "table_body")
+    path = _shared(spark, "content")
+    raw = b.select(F.concat("slug", F.lit("_content_list.jsonl")).alias("file"), "ord", F.to_json(row).alias("value"))
+    raw.repartition("file").sortWithinPartitions("file", "ord").select("file", "value").write.partitionBy("file").text(path)
+    return readers.block_lines(spark, f"{path}/*").select("slug", "ord", "type", "page", "text_level", F.md5("text").alias("text_md5"), "caption", F.length("table_body").alias("table_chars"))
+
+
+@query
+def read_ledgers(spark, d):
+    """The ledgers written as files, a course a folder, and read again."""
+    path = _shared(spark, "ledgers")
+    lines = C.ledger_lines(table(spark, d, "ledger_entry"))
+    lines.repartition("course").sortWithinPartitions("course", "ln").select("course", F.col("line").alias("value")).write.partitionBy("course").text(path)
+    return C.parsed_ledgers(readers.ledgers(spark, f"{path}/*"))
+
+
+@query
+def read_intake(spark, d):
+    """The books' sources as intake records, staged."""
+    path = _shared(spark, "intake")
+    m = _meta(spark, d)
+    entry = F.struct(F.col("source_path").alias("path"), F.get("titles", 0).alias("title"), F.get("courses", 0).alias("course"), F.get(F.split("source_path", "/"), 2).alias("kind"))
+    m.select(F.array(entry).alias("files"), F.col("slug").alias("record")).repartition("record").write.partitionBy("record").json(path)
+    files = m.where("pages >= 20").select(F.col("source_path").alias("path"))
+    return C.staged(readers.intake(spark, f"{path}/*"), files=files).distinct()
+
+
+@query
+def read_sidecars(spark, d):
+    path = _shared(spark, "sidecars")
+    m = _meta(spark, d).withColumn("page_span", F.array("page_span.start", "page_span.end")).withColumn("book", F.col("slug"))
+    m.repartition("book").write.partitionBy("book").json(path)
+    r = readers.sidecars(spark, f"{path}/*")
+    return r.select("slug", "tier", "pages", F.get("page_span", 0).alias("page_start"), F.get("page_span", 1).alias("page_end"), F.array_join("titles", "|").alias("titles"), "source_sha256", "chars")
+
+
+@query
+def read_chunk_lines(spark, d):
+    """The chunks written as JSON lines, a file a book, and their order as read again."""
+    path = _shared(spark, "chunk-lines")
+    c = _chunks(spark, d, "book_slug", "seq", "breadcrumb", "text", "page_start", "page_end", "parent_id", "is_parent", "tokens", "courses", "source_tier", "content_types")
+    rows = c.withColumn("book", F.col("book_slug")).repartition("book").sortWithinPartitions("book", "seq", "chunk_id")
+    rows.drop("seq").write.partitionBy("book").json(path)
+    r = readers.chunk_lines(spark, f"{path}/*")
+    r = running(r.select("chunk_id", "book_slug", "seq", "text", "courses"), ["book_slug"], ["seq"], {"previous": ("prev", F.col("chunk_id"))}, readers.LINE_BUCKET)
+    return r.select("chunk_id", "book_slug", "previous", F.md5("text").alias("text_md5"), F.array_join("courses", ",").alias("courses"))
+
+
+@query
+def hashed_books(spark, d):
+    """The digests of files, a book's source path in each."""
+    path = _shared(spark, "files")
+    _meta(spark, d).select("slug", F.col("source_path").alias("value")).repartition("slug").write.partitionBy("slug").text(path)
+    h = readers.hashed_files(spark, path, "*.txt")
+    return h.select(F.regexp_extract("path", "slug=([^/]+)/", 1).alias("slug"), "sha256", "bytes")
+
+
+@query
+def stored_chunks(spark, d):
+    """The chunks stored by book, one book replaced with upper-case texts, those that the manifest lists read again."""
+    path, listed = _shared(spark, "chunks"), _shared(spark, "manifest")
+    c = written(_chunks(spark, d, "book_slug", "is_parent", "text"))
+    store.write_chunks(c, path)
+    last = c.agg(F.max("book_slug").alias("s")).first()["s"]
+    store.write_chunks(c.where(F.col("book_slug") == last).withColumn("text", F.upper("text")), path)
+    store.manifest_json(c.where("book_slug is not null"), listed)
+    found = store.listed_chunks(store.read_chunks(spark, path), store.read_manifest(spark, listed).where("parents > 1"))
+    return found.select("chunk_id", "book_slug", "is_parent", F.md5("text").alias("text_md5"))
+
+
+@query
+def stored_manifest(spark, d):
+    path = _shared(spark, "manifest")
+    store.manifest_json(_chunks(spark, d, "book_slug", "is_parent"), path)
+    missing = store.read_manifest(spark, f"{path}-missing")
+    return store.read_manifest(spark, path).unionByName(missing)
+
+
+def _index(spark, d):
+    """An index of the chunks, written in two parts, with the vectors of their words."""
+    path = _shared(spark, "index")
+    c = _chunks(spark, d, "book_slug", "breadcrumb", "text", "page_start", "page_end", "parent_id", "is_parent", "courses")
+    c = written(c)
+    vectors = E.hashed_words(c.where("not is_parent").select(F.col("chunk_id").alias("id"), T.embedding_text(F.col("breadcrumb"), F.col("text")).alias("text")))
+    store.build_index(c.where("is_parent or page_start % 2 = 0"), vectors, path)
+    store.build_index(c.where("not is_parent and page_start % 2 <> 0"), vectors, path, append=True)
+    return path
+
+
+@query
+def indexed_children(spark, d):
+    children, parents = store.open_index(spark, _index(spark, d))
+    p = parents.select(F.col("chunk_id").alias("parent_id"), F.length("body").alias("parent_chars"))
+    return children.join(p, "parent_id", "left").select("chunk_id", F.md5("text").alias("text_md5"), F.md5("body").alias("body_md5"), F.size("vector").alias("size"), "parent_chars")
+
+
+def _asked(spark, d):
+    q = _meta(spark, d).select(F.col("slug").alias("id"), F.get("titles", 0).alias("text")).where("text is not null")
+    return q.join(E.hashed_words(q), "id").withColumnRenamed("id", "qid")
+
+
+@query
+def index_answers(spark, d):
+    """The books' first titles asked of an index of the chunks."""
+    a = R.answers(_asked(spark, d), *store.open_index(spark, _index(spark, d)))
+    return a.select("qid", "rank", "score", "chunk_id", "book_slug", "matched", F.md5("text").alias("text_md5"), F.md5("matched_text").alias("matched_md5"), "citation")
+
+
+@query
+def plain_answers(spark, d):
+    """The same without expansion to parents, over the children table."""
+    c = _children(spark, d, "book_slug", "breadcrumb", "text", "body", "page_start", "page_end", "courses", "parent_id", "vector")
+    a = R.answers(_book_queries(spark, d), c, None, expand=False)
+    return a.select("qid", "rank", "score", "chunk_id", "book_slug", F.array_join("courses", ",").alias("courses"), F.md5("text").alias("text_md5"), "matched_text")
+
+
+@query
+def published_chunks(spark, d):
+    """Two revisions published; what was pulled of the first, what is pulled next, and the newest."""
+    path, to = _shared(spark, "published"), _shared(spark, "pulled")
+    c = _chunks(spark, d, "book_slug", "is_parent")
+    store.publish({"chunks": c.where("is_parent"), "books": C.manifest(c)}, path, "r1")
+    store.publish({"chunks": c, "books": C.manifest(c)}, path, "r2")
+    first = written(store.pull(spark, path, "chunks", "r1", to).select("chunk_id", F.lit("r1").alias("pulled")))  # the next pull replaces it
+    again = store.pull(spark, path, "chunks", to=to)  # what is recorded, not the newest
+    newest = store.pull(spark, path, "chunks")
+    named = lambda df, name: df.select("chunk_id", F.concat(F.lit(f"{name} "), F.lit(store.recorded(spark, to if name == "again" else path))).alias("pulled"))
+    return first.unionByName(named(again, "again")).unionByName(named(newest, "newest"))
+
+
+@query
+def rendered_figures(spark, d):
+    """The figures' Markdown with their files' names; files too small have none and keep their path."""
+    b = _blocks(spark, d)
+    sizes = b.where(F.col("type").isin(B.FIGURES)).select("slug", "img_path", (F.length("img_path") * 100).alias("bytes")).distinct()
+    names = B.figure_names(b, sizes, 2200)
+    r = B.rendered_blocks(b, table(spark, d, "outline"), names)
+    return r.join(b.where(F.col("type").isin(B.FIGURES)).select("slug", "ord"), ["slug", "ord"], "left_semi").select("slug", "ord", "part")
+
+
+@query
+def document_meta(spark, d):
+    b = written(_blocks(spark, d))
+    parts = B.rendered_blocks(b, table(spark, d, "outline"))
+    return store.document_meta(parts, B.figure_names(b), table(spark, d, "book_meta"))
+
+
+@query
+def written_documents(spark, d):
+    """The Markdown of all books, stored and read again."""
+    path = _shared(spark, "documents")
+    b = written(_blocks(spark, d))
+    parts = written(B.rendered_blocks(b, table(spark, d, "outline")))
+    store.write_documents(parts, store.document_meta(parts, B.figure_names(b), table(spark, d, "book_meta")), path)
+    lines = spark.read.text(f"{path}/extracted").where("value <> ''")
+    return lines.groupBy("slug").agg(F.count("*").alias("lines"), F.sum(F.length("value")).alias("chars"))
+
+
+@query
+def described_books(spark, d):
+    chars = _blocks(spark, d).groupBy("slug", "page").agg(F.sum(F.length("text")).alias("chars"))
+    m = _meta(spark, d)
+    r = C.described(m.select("slug", "pages"), chars, table(spark, d, "outline"), m.select("slug", F.col("source_sha256").alias("sha256")))
+    return r.select("slug", "pages", "sha256", "extraction_tier", F.array_join("warnings", "; ").alias("warnings"))
+
+
+def _outcomes(spark, d):
+    m = _meta(spark, d)
+    kind = F.when(F.col("tier") == 2, "basic").when(F.col("tier") == 1, "extra").when(F.col("tier") == 5, "slides").when(F.col("tier") == 4, "exams").otherwise("other")
+    drops = m.withColumn("course", F.explode("courses")).select(
+        F.concat_ws("/", "course", kind, F.regexp_replace("source_path", "^.*/", "")).alias("path"), F.col("source_sha256").alias("sha256"), "pages", F.get("titles", 0).alias("sidecar")
+    )
+    return C.drop_outcomes(drops, m.where("tier = 2").select(F.col("source_sha256").alias("sha256")))
+
+
+@query
+def titled_drops(spark, d):
+    """The outcomes of drop_outcomes with the titles of their sidecars, and where they are filed."""
+    return _outcomes(spark, d).select("path", "status", "title", F.when(F.col("status").isin("accepted", "stored"), C.destination(F.col("path"))).alias("destination"))
+
+
+@query
+def outcome_totals(spark, d):
+    return C.outcome_totals(_outcomes(spark, d))
+
+
+@query
+def new_entries(spark, d):
+    return C.new_entries(_outcomes(spark, d), table(spark, d, "ledger_entry"))
+
+
+@query
+def coverage_nested(spark, d):
+    c = C.coverage_nested(_meta(spark, d), C.manifest(_chunks(spark, d, "book_slug", "is_parent")))
+    kinds = F.array_join(F.transform(F.array_sort(F.map_entries("by_kind")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return c.select("course", "books", F.array_join("book_slugs", ",").alias("book_slugs"), kinds.alias("by_kind"))
+
+
+@query
+def all_warnings(spark, d):
+    return C.all_warnings(_meta(spark, d))
 
 
 @query

@@ -207,3 +207,73 @@ SQL = {
     "streamed_events": "SELECT * FROM events",
     "event_hours": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
 }
+
+_WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
+
+
+def _hashed(name: str, texts: str) -> str:
+    """name(id, place, value): the components that aren't zero of hashed vectors; name_u(id, u): the vectors."""
+    return rf"""{name}_h AS (SELECT id, ('0x' || substring(md5(w), 1, 8))::BIGINT AS h FROM (SELECT id, unnest({_WORDS.format("text")}) AS w FROM ({texts}))),
+    {name}_n AS (SELECT id, CAST(h % 64 AS INTEGER) AS place, sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END)::DOUBLE AS n FROM {name}_h GROUP BY 1, 2),
+    {name} AS (SELECT id, place, CAST(n / sqrt(sum(n * n) OVER (PARTITION BY id)) AS FLOAT) AS value FROM {name}_n),
+    {name}_u AS (SELECT id, list_transform(range(64), lambda i: coalesce(m[CAST(i AS INTEGER)], 0)::DOUBLE) AS u FROM (SELECT id, map(list(place), list(value)) AS m FROM {name} WHERE value <> 0 GROUP BY 1))"""
+
+
+def _answers(children: str, queries: str) -> str:
+    """rrf: the fused matches of queries (qid, text, u) in children (id, text, u)."""
+    return f"""{_bm25("lex", f"SELECT qid, text FROM {queries}", f"SELECT id, text FROM {children}", 8)},
+    {_knn("dense", f"SELECT qid, u FROM {queries} WHERE u IS NOT NULL", f"SELECT id, u FROM {children} WHERE u IS NOT NULL", 8)},
+    rrf_s AS (SELECT qid, id, round(sum(1.0::DOUBLE / (60 + rank)), 8) AS score FROM (SELECT qid, id, rank FROM lex UNION ALL SELECT qid, id, rank FROM dense) GROUP BY 1, 2),
+    rrf AS (SELECT qid, id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS INTEGER) AS rank FROM rrf_s QUALIFY rank <= 8)"""
+
+
+_INDEXED = f"""kc AS (SELECT chunk_id AS id, CASE WHEN coalesce(breadcrumb, '') <> '' THEN breadcrumb || chr(10) || chr(10) || text ELSE text END AS text FROM c WHERE NOT is_parent),
+    {_hashed("hc", "SELECT id, text FROM kc")}, kv AS (SELECT kc.id, text, list_transform(u, lambda x: x / sqrt(list_sum(list_transform(u, lambda y: y * y)))) AS u FROM kc LEFT JOIN hc_u USING (id)),
+    kq AS (SELECT slug AS id, titles[1] AS text FROM m WHERE titles[1] IS NOT NULL), {_hashed("hq", "SELECT id, text FROM kq")},
+    qv AS (SELECT kq.id AS qid, text, list_transform(u, lambda x: x / sqrt(list_sum(list_transform(u, lambda y: y * y)))) AS u FROM kq LEFT JOIN hq_u USING (id))"""
+_DROPS = SQL["drop_outcomes"].split("SELECT path, status")[0]
+_DROPS = _DROPS.replace("pages FROM m)", "pages, titles[1] AS sidecar FROM m)", 1)
+_NAMED = r"array_to_string(list_transform(string_split(trim(regexp_replace(regexp_replace(name, '\.[^.]+$', ''), '[-_]+', ' ', 'g')), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ')"
+_TITLED = rf"coalesce(nullif(trim(string_split(trim(sidecar), chr(10))[1]), ''), {_NAMED})"
+_REASON = "CASE WHEN status = 'rejected' THEN coalesce(bad, late) END"
+_TITLES = "array_to_string(titles, '|')"
+
+SQL |= {
+    "encoded_children": f"WITH {_CH}, {_hashed('hc', 'SELECT chunk_id AS id, text FROM ch')} SELECT id, place, round(value::DOUBLE, 4) AS value FROM hc WHERE value <> 0",
+    "read_block_lines": rf"""WITH {_B} SELECT slug, CAST(row_number() OVER (PARTITION BY slug ORDER BY ord) - 1 AS INTEGER) AS ord, type, page, text_level, md5(coalesce(text, '')) AS text_md5,
+        CASE WHEN trim(coalesce(caption, '')) IN ('[]', 'None') THEN '' ELSE trim(coalesce(caption, '')) END AS caption, CAST(length(coalesce(table_body, '')) AS INTEGER) AS table_chars FROM b""",
+    "read_ledgers": SQL["ledger_round_trip"],
+    "read_intake": SQL["staged_books"].replace("FROM p WHERE kind IN", "FROM p WHERE path IN (SELECT source_path FROM book_meta WHERE pages >= 20) AND kind IN"),
+    "read_sidecars": f"WITH {_M} SELECT slug, tier, pages, page_span.start AS page_start, page_span.\"end\" AS page_end, coalesce({_TITLES}, '') AS titles, source_sha256, chars FROM m",
+    "read_chunk_lines": f"WITH {_C} SELECT chunk_id, book_slug, lag(chunk_id) OVER (PARTITION BY book_slug ORDER BY seq, chunk_id) AS previous, md5(text) AS text_md5, array_to_string(courses, ',') AS courses FROM c",
+    "hashed_books": f"WITH {_M} SELECT slug, sha256(source_path || chr(10)) AS sha256, CAST(strlen(source_path) + 1 AS BIGINT) AS bytes FROM m",
+    "stored_chunks": f"WITH {_C}, {_MAN} SELECT chunk_id, book_slug, is_parent, md5(CASE WHEN book_slug = (SELECT max(book_slug) FROM c) THEN upper(text) ELSE text END) AS text_md5 FROM c WHERE book_slug IN (SELECT book_slug FROM man WHERE parents > 1)",
+    "stored_manifest": SQL["manifest"],
+    "indexed_children": f"""WITH {_C} SELECT x.chunk_id, md5(CASE WHEN coalesce(x.breadcrumb, '') <> '' THEN x.breadcrumb || chr(10) || chr(10) || x.text ELSE x.text END) AS text_md5, md5(x.text) AS body_md5,
+        CAST(64 AS INTEGER) AS size, CAST(length(p.text) AS INTEGER) AS parent_chars FROM c x LEFT JOIN c p ON p.chunk_id = x.parent_id AND p.is_parent WHERE NOT x.is_parent""",
+    "index_answers": f"""WITH {_C}, {_M}, {_INDEXED}, {_answers("kv", "qv")},
+        mt AS (SELECT rrf.*, p.chunk_id AS parent FROM rrf JOIN c x ON x.chunk_id = rrf.id LEFT JOIN c p ON p.chunk_id = x.parent_id AND p.is_parent),
+        best AS (SELECT * FROM mt QUALIFY row_number() OVER (PARTITION BY qid, coalesce(parent, 'child:' || id) ORDER BY rank) = 1)
+        SELECT qid, rank, score, c.chunk_id, c.book_slug, CASE WHEN parent IS NOT NULL THEN id END AS matched, md5(c.text) AS text_md5, md5(CASE WHEN parent IS NOT NULL THEN k.text ELSE '' END) AS matched_md5,
+          {_CITE.replace("breadcrumb", "c.breadcrumb").replace("page_start", "c.page_start").replace("page_end", "c.page_end")} AS citation FROM best JOIN c ON c.chunk_id = coalesce(parent, id) JOIN c k ON k.chunk_id = id""",
+    "plain_answers": f"WITH {_hybrid()} SELECT qid, rank, score, rrf.id AS chunk_id, book_slug, array_to_string(courses, ',') AS courses, md5(body) AS text_md5, '' AS matched_text FROM rrf JOIN ch ON ch.chunk_id = rrf.id",
+    "published_chunks": f"WITH {_C} SELECT chunk_id, 'r1' AS pulled FROM c WHERE is_parent UNION ALL SELECT chunk_id, 'again r1' FROM c WHERE is_parent UNION ALL SELECT chunk_id, 'newest r2' FROM c",
+    "rendered_figures": rf"""WITH {_B}, {_K}, {_KNOWN}, {_H}, {_TM}, {_RD}, f AS (SELECT slug, img_path, arg_min(page, ord) AS page, min(ord) AS ord FROM b WHERE type IN ('image', 'chart') AND coalesce(img_path, '') <> '' AND length(img_path) * 100 >= 2200 GROUP BY 1, 2),
+        n AS (SELECT slug, img_path, 'p' || lpad(CAST(page AS VARCHAR), 4, '0') || '-fig' || row_number() OVER (PARTITION BY slug, page ORDER BY ord) || regexp_extract(img_path, '(\.[^./]+)$', 1) AS name FROM f)
+        SELECT rd.slug, rd.ord, CASE WHEN n.name IS NULL THEN part ELSE replace(part, '](' || b.img_path || ')', '](' || n.name || ')') END AS part
+        FROM rd JOIN b ON b.slug = rd.slug AND b.ord = rd.ord AND b.type IN ('image', 'chart') LEFT JOIN n ON n.slug = b.slug AND n.img_path = b.img_path""",
+    "document_meta": rf"""WITH {_B}, {_K}, {_KNOWN}, {_H}, {_TM}, {_RD}, s AS (SELECT slug, count(*) AS parts, CAST(sum(length(part)) + 2 * (count(*) - 1) AS BIGINT) AS chars, min(page) AS page_start, max(page) AS page_end FROM rd GROUP BY 1),
+        f AS (SELECT slug, count(DISTINCT img_path) AS figures FROM b WHERE type IN ('image', 'chart') AND coalesce(img_path, '') <> '' GROUP BY 1)
+        SELECT slug, coalesce(parts, 0) AS parts, coalesce(chars, 0) AS chars, coalesce(page_start, 0) AS page_start, coalesce(page_end, 0) AS page_end, coalesce(figures, 0) AS figures FROM (SELECT DISTINCT slug FROM book_meta) LEFT JOIN s USING (slug) LEFT JOIN f USING (slug)""",
+    "written_documents": rf"""WITH {_B}, {_K}, {_KNOWN}, {_H}, {_TM}, {_RD}, l AS (SELECT slug, unnest(string_split(part, chr(10))) AS line FROM rd)
+        SELECT slug, count(*) AS lines, CAST(sum(length(line)) AS BIGINT) AS chars FROM l WHERE line <> '' GROUP BY 1""",
+    "described_books": f"""WITH {SQL["scan_classes"].removeprefix("WITH ").rpartition("SELECT slug, CAST")[0].rstrip()}, sc AS (SELECT slug, coalesce(pages, 0) AS pages, source_sha256 AS sha256, CASE WHEN coalesce(median, 0) < 200 THEN 'scan' ELSE 'born_digital' END AS extraction_tier FROM m LEFT JOIN q USING (slug))
+        SELECT slug, pages, sha256, extraction_tier, array_to_string(list_filter([CASE WHEN extraction_tier = 'scan' THEN 'no text layer' END, CASE WHEN slug NOT IN (SELECT slug FROM outline WHERE slug IS NOT NULL) THEN 'no outline' END, CASE WHEN pages < 20 THEN 'only ' || pages || ' pages' END], lambda x: x IS NOT NULL), '; ') AS warnings FROM sc""",
+    "titled_drops": f"""{_DROPS} SELECT path, status, {_TITLED} AS title, CASE WHEN status = 'accepted' THEN 'courses/' || course || '/literature/' || name WHEN status = 'stored' THEN 'courses/' || course || '/raw/' || kind || '/' || name END AS destination FROM s""",
+    "outcome_totals": f"{_DROPS} SELECT status, coalesce({_REASON}, '') AS reason, count(*) AS files FROM s GROUP BY 1, 2",
+    "new_entries": f"{_DROPS} SELECT DISTINCT course, CASE kind WHEN 'basic' THEN 2 ELSE 1 END AS tier, {_TITLED} AS title, name AS filename FROM s WHERE status IN ('accepted', 'duplicate') AND kind IN ('basic', 'extra') AND NOT EXISTS (SELECT 1 FROM ledger_entry e WHERE e.course = s.course AND e.filename = s.name)",
+    "coverage_nested": f"""WITH {_C}, {_MAN}, {_M}, {_LISTED}, {_COURSES}, k AS (SELECT course, kind, count(*) AS n FROM l GROUP BY 1, 2), ks AS (SELECT course, string_agg(kind || '=' || n, ',' ORDER BY kind) AS by_kind FROM k GROUP BY 1),
+        t AS (SELECT course, count(*) AS books, string_agg(slug, ',' ORDER BY slug) AS book_slugs FROM l GROUP BY 1)
+        SELECT course, coalesce(books, 0) AS books, coalesce(book_slugs, '') AS book_slugs, coalesce(by_kind, '') AS by_kind FROM courses LEFT JOIN t USING (course) LEFT JOIN ks USING (course)""",
+    "all_warnings": f"WITH {_M} SELECT slug, array_to_string(warnings, '; ') AS warnings FROM m WHERE len(warnings) > 0",
+}

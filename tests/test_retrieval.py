@@ -65,3 +65,31 @@ def test_courses_and_encoder(spark):
     assert [x.chunk_id for x in R.of_course(c, "MP").collect()] == ["a"] and R.of_course(c, "").count() == 3 and R.of_course(c, "%").count() == 0
     v = {x.id: x.vector for x in encode.encoded(spark.createDataFrame([("a", "x y x"), ("b", ""), ("c", None)], "id string, text string")).collect()}
     assert abs(np.linalg.norm(v["a"]) - 1) < 1e-6 and set(v["b"]) == {0.0} and v["c"] is None
+
+
+def test_hashed_words_in_columns_and_in_lists(spark):
+    texts = ["The the cat", "", "¡Ñandú 12!", "a b c d e f g h"]
+    got = {x.id: x.vector for x in encode.hashed_words(spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(9, None)], "id int, text string")).collect()}
+    want = encode.HashedWords().encode(texts)
+    assert got[9] is None and all(np.allclose(got[i], want[i], atol=1e-6) for i in range(4)) and set(got[1]) == {0.0}
+
+
+def test_search_and_fetch(spark, tmp_path):
+    import pytest
+
+    from folioscope.operators import store
+
+    rows = [("p1", "s", True, 0, "", "Rivers carry water to the sea", "Book > Rivers", 1, 2, ["MP"]), ("c1", "s", False, 1, "p1", "Rivers carry water", "Book > Rivers", 1, 1, ["MP"]), ("c2", "s", False, 2, "p1", "to the sea", "Book > Rivers", 2, 2, ["MP"]), ("c3", "t", False, 0, "gone", "Cats sleep", "", 5, 5, None)]
+    c = spark.createDataFrame(rows, "chunk_id string, book_slug string, is_parent boolean, seq int, parent_id string, text string, breadcrumb string, page_start int, page_end int, courses array<string>")
+    path = f"file://{tmp_path}/index"
+    assert R.search(spark, path, "rivers").count() == 0  # no index yet
+    vectors = encode.hashed_words(c.where("not is_parent").select(F.col("chunk_id").alias("id"), "text"))
+    assert store.build_index(c, vectors, path) == (3, 1)
+    first = R.search(spark, path, "rivers carry water").first()
+    assert first["chunk_id"] == "p1" and first["matched"] == "c1" and first["matched_text"] == "Rivers carry water" and first["citation"] == "Book > Rivers, pp. 1-2" and first["text"].endswith("sea")
+    plain = R.search(spark, path, "rivers carry water", expand=False, k=1).collect()
+    assert [(x.chunk_id, x.text, x.matched_text) for x in plain] == [("c1", "Rivers carry water", "")]
+    assert {x.chunk_id for x in R.search(spark, path, "cats sleep", course="MP").collect()} <= {"p1"} and R.search(spark, path, "cats", course="??").count() == 0
+    assert R.fetch(c, "c2").first()["chunk_id"] == "p1"
+    with pytest.raises(ValueError):
+        R.fetch(c, "nobody")
