@@ -2,8 +2,8 @@
 
 Vectors fall into blocks by a hash of their id; each pair of blocks is one tile, handled by one task
 that holds just those two blocks. In a tile the vectors are quantised to int8 codes with one scale
-each; the product of the codes (exact in float32, as 64 products of int8 stay below 2^24) gives every
-similarity up to a known error, which follows from the length of what quantisation cut off. Pairs
+each; the product of the codes, one side scaled and in float32, gives every similarity up to a known
+error, which follows from the length of what quantisation cut off and a slack for rounding. Pairs
 whose upper bound reaches the k-th lower bound survive and are recomputed in float64. Each tile
 returns k candidates a vector; a heap per vector merges those of all tiles. As only pairs that
 provably aren't among the k are dropped, the result is exact: recall is 1.
@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 K, SIZE, BLOCK, STRIPE, LANE, SLICE = 10, 64, 16384, 512, 64, 100_000
+#: Vectors of a block at most: a tile of two holds about 100 MB of them, and 130 MB of one stripe's similarities.
+LARGEST = 65536
 _TILE_SCHEMA = "id string, ids array<string>, sims array<double>"
 
 
@@ -143,7 +145,9 @@ def _merged(k: int):
 def neighbours(vectors: DataFrame, id_column: str = "chunk_id", vector: str = "vector", k: int = K, size: int = SIZE, block: int = BLOCK) -> DataFrame:
     """id, rank (from 1), other, similarity: the k most similar others of every usable vector."""
     rows = vectors.select(F.col(id_column).cast("string").alias("id"), F.col(vector).cast("array<float>").alias("vector"))
-    blocks = max(1, -(-vectors.count() // block))
+    n = vectors.count()
+    # large tables have larger blocks, since each vector is sent once for each block
+    blocks = max(1, -(-n // max(block, min(LARGEST, n // 16))))
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     rows = rows.where(F.col("id").isNotNull() & (F.size("vector") == size) & F.forall("vector", fine) & F.exists("vector", lambda x: x != 0))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))

@@ -114,8 +114,19 @@ def same_looking(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
     )
 
 
+def same_looking_classes(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, class_id (the smallest doc_id of those that look the same), texts (how many differ in their characters),
+    documents, of every document with a text: one row each, however large a class is."""
+    d = written(same_looking(documents, doc_id, text).distinct())
+    # copies of one text are counted before anything else
+    texts = d.groupBy("form_id", "text_id").agg(F.min("doc_id").alias("least"), F.count_distinct("doc_id").alias("n"))
+    classes = texts.groupBy("form_id").agg(F.min("least").alias("class_id"), F.count("*").alias("texts"), F.sum("n").alias("documents"))
+    return d.join(classes, "form_id").groupBy("doc_id").agg(F.min(F.struct("class_id", "texts", "documents")).alias("c")).select("doc_id", "c.*")
+
+
 def same_looking_pairs(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Pairs doc_id_a < doc_id_b whose texts differ in their characters but have one form.
+    """Pairs doc_id_a < doc_id_b whose texts differ in their characters but have one form, as the query of the problem asks;
+    same_looking_classes has the same without pairs.
 
     Copies of one text make no pair. Forms with one text only, however many copies it has, are left
     out by an aggregate before anything is joined, so no pairs inside a group of copies are made.

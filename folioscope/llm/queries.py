@@ -158,6 +158,10 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return p9_forms.same_looking_pairs(table(spark, folder, "documents"))
 
 
+def p9_classes(spark: SparkSession, folder: str) -> DataFrame:
+    return p9_forms.same_looking_classes(table(spark, folder, "documents"))
+
+
 def p9_form(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return p9_forms.consistent_texts(docs).select("doc_id", "form")
@@ -256,6 +260,8 @@ def oracle_sql() -> dict[str, str]:
         "p7_found": f"WITH {_leak_sql()} SELECT doc_id, item_id FROM lk",
         "p7_report": f"WITH {_leak_sql()} SELECT i.item_id, count(doc_id) AS documents FROM (SELECT DISTINCT item_id FROM eval_item) i LEFT JOIN lk USING (item_id) GROUP BY 1",
         "p9_form": f"WITH {_form_sql()} SELECT id AS doc_id, form FROM d",
+        "p9_classes": f"""WITH {_form_sql()}, b AS (SELECT d.id, form, x AS text FROM d JOIN t0 USING (id)), f AS (SELECT form, min(id) AS class_id, count(DISTINCT text) AS texts, CAST(count(*) AS BIGINT) AS documents FROM b GROUP BY 1)
+            SELECT id AS doc_id, class_id, texts, documents FROM b JOIN f USING (form)""",
         "p9_found": f"WITH {_form_sql()}, b AS (SELECT d.id, form, x AS text FROM d JOIN t0 USING (id)) SELECT a.id AS doc_id_a, b.id AS doc_id_b FROM b a JOIN b ON a.form = b.form AND a.id < b.id AND a.text <> b.text",
         "p8_found": """
             -- characters stand for tokens here: by the statement of the problem, the margins hold for any usual tokenizer

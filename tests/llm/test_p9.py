@@ -37,3 +37,10 @@ def test_pairs(spark):
 
 def test_a_long_text():
     assert len(P.form_of("é́x​" * 200_000)) == 600_000
+
+
+def test_classes(spark):
+    rows = [(1, "ﬁne"), (2, "fine"), (3, "fine"), (4, "Fine"), (5, None), (None, "fine"), (6, ""), (2, "fine")]
+    got = {x.doc_id: (x.class_id, x.texts, x.documents) for x in P.same_looking_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (1, 2, 3), 2: (1, 2, 3), 3: (1, 2, 3), 4: (4, 1, 1), 6: (6, 1, 1)}
+    assert P.same_looking_classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
