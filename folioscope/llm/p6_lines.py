@@ -115,9 +115,12 @@ def _batch(places: DataFrame, least: int, depth: int, shards: int) -> DataFrame:
     return blocks.groupBy("source", "path", "lines").agg(F.sum("documents").alias("documents")).where(F.col("documents") >= least)
 
 
-def _identified(documents: DataFrame) -> DataFrame:
-    ids = F.filter(line_keys(F.col("text")), lambda x: x.isNotNull())
-    return documents.where("source is not null and text is not null").select("source", ids.alias("ids")).where("size(ids) > 0")
+def _keyed(documents: DataFrame, *columns: str) -> DataFrame:
+    return documents.where("source is not null and text is not null").select("source", *columns, line_keys(F.col("text")).alias("keys"))
+
+
+def _identified(keyed: DataFrame) -> DataFrame:
+    return keyed.select("source", F.filter("keys", lambda x: x.isNotNull()).alias("ids")).where("size(ids) > 0")
 
 
 def _all_places(ids: DataFrame) -> DataFrame:
@@ -133,7 +136,7 @@ def _most(occurrences: DataFrame, side: str, keys: list[str]) -> DataFrame:
 def repeated_blocks(documents: DataFrame, least: int = LEAST, depth: int = DEPTH, shards: int = SHARDS) -> DataFrame:
     """source, lines (identifiers), documents: of each source the maximal blocks of lines that at least `least` of its
     documents have: a line more on either side, and they are in fewer. documents: source, text, one row each."""
-    ids = written(_identified(documents).withColumn("doc", F.monotonically_increasing_id()))
+    ids = written(_identified(_keyed(documents)).withColumn("doc", F.monotonically_increasing_id()))
     blocks = written(_batch(_all_places(ids), least, depth, shards))
     longer = blocks.where("size(lines) > 1")
     # single lines have been counted over shards, and haven't met their longer blocks yet
@@ -179,7 +182,11 @@ def repeated_blocks(documents: DataFrame, least: int = LEAST, depth: int = DEPTH
 def repeated_lines(documents: DataFrame, least: int = LEAST, depth: int = DEPTH, shards: int = SHARDS) -> DataFrame:
     """source, line (identifier) of every line that lies in a repeated block. The first batch has them all, since each
     line of a longer block lies in a block of that batch too."""
-    blocks = _batch(_all_places(_identified(documents)), least, depth, shards)
+    return _lines(_keyed(documents), least, depth, shards)
+
+
+def _lines(keyed: DataFrame, least: int, depth: int = DEPTH, shards: int = SHARDS) -> DataFrame:
+    blocks = _batch(_all_places(_identified(keyed)), least, depth, shards)
     return blocks.select("source", F.explode("lines").alias("line")).distinct()
 
 
@@ -217,7 +224,7 @@ def all_blocks(block: DataFrame) -> DataFrame:
 
 def repeated_line_places(block: DataFrame, least: int = LEAST) -> DataFrame:
     """slug, ord, line_no of every line of a block that lies in a block of lines that repeats in its book."""
-    b = plain_blocks(block)
-    places = b.select("source", "ord", F.posexplode(line_keys(F.col("text"))).alias("line_no", "line"))
-    found = places.where("line is not null").join(repeated_lines(b, least), ["source", "line"], "left_semi")
+    keyed = written(_keyed(plain_blocks(block), "ord"))  # lines are normalised once, for their blocks and for their places
+    places = keyed.select("source", "ord", F.posexplode("keys").alias("line_no", "line")).where("line is not null")
+    found = places.join(_lines(keyed, least), ["source", "line"], "left_semi")
     return found.select(F.col("source").alias("slug"), "ord", "line_no")
