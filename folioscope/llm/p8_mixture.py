@@ -136,7 +136,7 @@ def counted(documents: DataFrame, target: DataFrame, path: str = TOKENIZER, size
 
 
 def source_plan(sized: DataFrame, target: DataFrame, evenness: float | None = None) -> DataFrame:
-    """source, weight, max_repeat, documents, tokens, reachable, exponent, budget (tokens). One row a target. evenness: a
+    """source, weight, max_repeat, documents, tokens, reachable, exponent, planned (share), budget (tokens). One row a target. evenness: a
     target entropy in place of the weights, from 0 (that of the token shares) to 1 (the largest)."""
     t = target.where("source is not null").groupBy("source").agg(
         F.coalesce(F.max("weight"), F.lit(0.0)).alias("weight"), F.coalesce(F.max("max_repeat"), F.lit(1)).alias("max_repeat")
@@ -149,8 +149,8 @@ def source_plan(sized: DataFrame, target: DataFrame, evenness: float | None = No
     weights, repeats = [r["weight"] for r in rows], [r["max_repeat"] for r in rows]
     shares, exponents = target_shares(tokens, weights, repeats, evenness)
     reach = [own_exponent(n / (total or 1), w, r) == 0 for n, w, r in zip(tokens, weights, repeats)]
-    out = [(*r, ok, e, int(round(s * total))) for r, ok, e, s in zip(rows, reach, exponents, shares)]
-    return sized.sparkSession.createDataFrame(out, "source string, weight double, max_repeat int, documents long, tokens long, reachable boolean, exponent double, budget long")
+    out = [(*r, ok, e, s, int(round(s * total))) for r, ok, e, s in zip(rows, reach, exponents, shares)]
+    return sized.sparkSession.createDataFrame(out, "source string, weight double, max_repeat int, documents long, tokens long, reachable boolean, exponent double, planned double, budget long")
 
 
 def mixture(sized: DataFrame, plan: DataFrame, seed: int = SEED, block: int = BLOCK_DOCUMENTS) -> DataFrame:

@@ -140,9 +140,8 @@ def _by_characters(spark: SparkSession, folder: str, evenness: float | None = No
     sized, plan = p8_mixture.prepared(table(spark, folder, "documents"), table(spark, folder, "mix_target"), size=F.length("text"), evenness=evenness)
     got = p8_mixture.reached(p8_mixture.mixture(sized, plan), plan).select("source", "tokens_used", "most_repeats")
     p = plan.join(got, "source").join(sized.groupBy("source").agg(F.max("tokens").alias("largest")), "source", "left")
-    total = F.lit(max(1, plan.agg(F.sum("tokens").alias("n")).first()["n"] or 0))
     kept = F.col("tokens_used").between(F.col("budget") - F.coalesce("largest", F.lit(0)), F.col("budget")) & (F.col("most_repeats") <= F.col("max_repeat"))
-    return p.select("source", "weight", "reachable", F.round("exponent", 5).alias("exponent"), F.round(F.col("budget") / total, 5).alias("share"), kept.alias("kept"))
+    return p.select("source", "weight", "reachable", F.round("exponent", 5).alias("exponent"), F.round("planned", 5).alias("share"), kept.alias("kept"))
 
 
 def p8_character_plan(spark: SparkSession, folder: str) -> DataFrame:
