@@ -54,3 +54,74 @@ def test_a_third_are_copies(spark):
         got.setdefault(g.id, {})[g.rank] = g.other
     first = [f"c{i:04}" for i in range(11)]
     assert all([got[f"c{i:04}"][n] for n in range(1, 11)] == [c for c in first if c != f"c{i:04}"][:10] for i in range(1500))
+
+
+def exact(x, y, k, same=False):
+    s = np.einsum("ia,ja->ij", x, y)
+    if same:
+        np.fill_diagonal(s, -9)
+    return {i: np.lexsort((np.arange(len(y)), -s[i]))[:k].tolist() for i in range(len(x))}
+
+
+def lists(found):
+    got = {}
+    for i, j, _ in zip(*found):
+        got.setdefault(int(i), []).append(int(j))
+    return got
+
+
+@pytest.mark.parametrize("held", [50, 100_000])
+def test_a_tile_serves_both_sides(monkeypatch, held):
+    monkeypatch.setattr(P, "SLICE", held)
+    r = np.random.default_rng(4)
+    for n, m in ((700, 1100), (3, 900), (515, 7), (1, 1), (512, 512)):
+        x, y = r.normal(size=(n, 8)), r.normal(size=(m, 8))
+        x[: n // 4], y[: m // 3] = y[0] * 3, y[0]
+        x, y = x / np.linalg.norm(x, axis=1)[:, None], y / np.linalg.norm(y, axis=1)[:, None]
+        low, high = exact(x, y, 5), exact(y, x, 5)
+        a, b = P.across(x, y, np.full(n, -9.0), np.full(m, -9.0), 5)
+        assert lists(a) == low and lists(b) == high
+        # floors that the k-th neighbours just reach leave all of the k
+        a, b = P.across(x, y, np.array([x[i] @ y[low[i][-1]] for i in range(n)]) - 1e-12, np.array([y[j] @ x[high[j][-1]] for j in range(m)]) - 1e-12, 5)
+        assert lists(a) == low and lists(b) == high
+
+
+@pytest.mark.parametrize("block", [15, 1000])
+def test_copies_are_compared_once(spark, monkeypatch, block):
+    whole = P.nearest
+
+    def few(x, y, *rest):
+        assert len(x) <= 40 and len(y) <= 40
+        return whole(x, y, *rest)
+
+    monkeypatch.setattr(P, "nearest", few)
+    r = np.random.default_rng(6)
+    kinds = r.normal(size=(40, 16)).astype(np.float32)
+    of = np.repeat(np.arange(40), [1] * 20 + [4] * 10 + [10, 11, 12] + [3] * 6 + [900])
+    r.shuffle(of)
+    ids = [f"v{i:04}" for i in range(len(of))]
+    df = spark.createDataFrame([(i, kinds[n].tolist()) for i, n in zip(ids, of)], "chunk_id string, vector array<float>")
+    got = {}
+    for g in P.neighbours(df, size=16, block=block).collect():
+        got.setdefault(g.id, {})[g.rank] = g.other
+    u = P._unit(kinds[of].ravel(), 16)
+    assert {i: [v[n] for n in range(1, 11)] for i, v in got.items()} == {ids[i]: [ids[j] for j in js] for i, js in exact(u, u, 10, True).items()}
+
+
+def test_vectors_are_not_sent_for_each_block(spark):
+    r = np.random.default_rng(7)
+    df = spark.createDataFrame([(f"v{i:03}", r.normal(size=8).tolist()) for i in range(300)], "chunk_id string, vector array<float>")
+    found = P.neighbours(df, size=8, block=30)
+    assert found.count() == 3000 and "Generate" not in found._jdf.queryExecution().toString()
+
+
+def test_blocks_stay_small_where_vectors_differ_in_length_only(spark):
+    df = spark.createDataFrame([(f"v{i:03}", [1.0 + i, 2.0 + 2 * i]) for i in range(400)], "id string, vector array<float>")
+    own, blocks = P._blocks(df, 400, 3, 2, 50)
+    sizes = [len(b.ids) for b in own.select("ids").collect()]
+    assert sum(sizes) == 400 and max(sizes) < 120 and len(sizes) <= blocks
+    got = {}
+    for g in P.neighbours(df, "id", k=3, size=2, block=50).collect():
+        got.setdefault(g.id, {})[g.rank] = g.other
+    u = P._unit(np.array([[1.0 + i, 2.0 + 2 * i] for i in range(400)]).ravel(), 2)
+    assert {i: [v[n] for n in range(1, 4)] for i, v in got.items()} == {f"v{i:03}": [f"v{j:03}" for j in js] for i, js in exact(u, u, 3, True).items()}
