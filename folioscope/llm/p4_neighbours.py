@@ -42,8 +42,10 @@ _BLOCK_SCHEMA = "block int, ids array<string>, vectors binary, floors binary, i
 def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """int8 codes, scales, and the length of what the codes leave out of each row."""
     scale = np.maximum(np.abs(x).max(1), 1e-30) / 127
-    codes = np.rint(x / scale[:, None]).astype(np.int8)
-    return codes, scale, np.linalg.norm(x - codes * scale[:, None], axis=1)
+    q = x / scale[:, None]  # in place from here on: x may be a block of the largest size
+    codes = np.rint(q, out=q).astype(np.int8)
+    q *= scale[:, None]
+    return codes, scale, np.linalg.norm(np.subtract(x, q, out=q), axis=1)
 
 
 def _scaled(codes: np.ndarray, scale: np.ndarray) -> np.ndarray:
@@ -70,16 +72,17 @@ def nearest(x: np.ndarray, y: np.ndarray, k: int, same: bool, stripe: int = STRI
     want = min(k, m - same)
     if not n or want < 1:
         return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
-    (cx, sx, ex), (cy, sy, ey) = quantised(x), quantised(y)
+    cx, sx, ex = quantised(x)
+    cy, sy, ey = (cx, sx, ex) if y is x else quantised(y)
     lanes = -(-m // LANE)  # lane l holds the columns l, l + lanes, l + 2 lanes and so on
     rows_of, columns = _scaled(cx, sx), np.zeros((lanes * LANE, x.shape[1]), np.float32)
     columns[:m] = _scaled(cy, sy)
     columns = np.ascontiguousarray(columns.T)
     most = float(ey.max(initial=0))
-    out = []
+    out, nears = [], np.empty((min(n, stripe), lanes * LANE), np.float32)
     for s in range(0, n, stripe):
         rows = np.arange(s, min(n, s + stripe))
-        near = rows_of[rows] @ columns
+        near = np.matmul(rows_of[rows], columns, out=nears[: len(rows)])
         near[:, m:] = -9
         if same:
             near[rows - s, rows] = -9
@@ -160,8 +163,9 @@ def across(x: np.ndarray, y: np.ndarray, of_x: np.ndarray, of_y: np.ndarray, k:
 
 def _unit(flat: np.ndarray, size: int) -> np.ndarray:
     x = flat.astype(np.float64).reshape(-1, size)
-    x = x / np.abs(x).max(1)[:, None]  # before the norm, which tiny or huge components would spoil
-    return x / np.linalg.norm(x, axis=1)[:, None]
+    x /= np.abs(x).max(1)[:, None]  # before the norm, which tiny or huge components would spoil
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    return x
 
 
 def _lists(ids: np.ndarray, others: np.ndarray, found) -> pa.Table:
